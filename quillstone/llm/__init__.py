@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, source_mix
+from . import exact_dedup, fingerprint, packing, source_mix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (source_mix.op3_source_mix, packing.op7_best_fit_packing, exact_dedup.op8_exact_dedup)}
+    return {f.__name__: f for f in (source_mix.op3_source_mix, packing.op7_best_fit_packing, exact_dedup.op8_exact_dedup, fingerprint.op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
