@@ -12,7 +12,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep, table
+from .scratch import keep, table, worker_state
 
 CAPACITY = 2048
 CACHED_WORDS = 200_000
-#: Texts with other characters, or with the special token, go through the tokenizer whole: white space and letters could be cut otherwise.
-PLAIN = "[^\\x09\\x0a\\x0d\\x20-\\x7e¡-¬®-ȳ‐-‧‰-⁞₠-₿]|<\\|endoftext\\|>"
+#: Non-ASCII texts with other characters go through the tokenizer whole: what is a letter there depends on the Unicode version.
+STEADY = "[^\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20a0-\u20bf]"
 
 
 def default_tokenizer() -> str:
@@ -37,45 +39,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Pre-token to the bytes of its ids, computed when first asked for."""
+
+    def __init__(self, one):
+        self.one = one
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.one(word.encode("utf-8"))
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level BPE files name bytes: printable Latin-1 ones name themselves, the others follow from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. Byte-level BPE never joins across pre-tokens, so the ids of each are kept."""
+    """Ids of whole texts as little-endian 32-bit bytes. Byte-level BPE never joins across pre-tokens, so the ids of each are kept.
+
+    A pre-token's ids come from merging by rank, which is what the file's merges say if its ids follow their order; files of
+    another kind, special tokens in a text and unusual characters are left to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         import regex
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(PLAIN).search
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, pre = file["model"], file.get("pre_tokenizer") or {}
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.known = None
+        plain = (model["type"], pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), file.get("normalizer"), file.get("post_processor")) == ("BPE", "ByteLevel", False, True, None, None)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        if plain and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)):
+            letters = _byte_letters()
+            ranks = {bytes(letters[c] for c in k): i for k, i in model["vocab"].items() if k not in self.special}
+            self.split = regex.compile(public_tokenizers.PATTERN).findall
+            self.odd = re.compile(STEADY).search
+            self.known = _Known(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._ids(text)
-        words, known = self.split(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join([known[w] for w in words])
+        if self.known is None or any(s in text for s in self.special) or not text.isascii() and self.odd(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder of ``path``; it outlasts the task."""
+    state = worker_state()
+    if ("encoder", path) not in state:
+        state["encoder", path] = Encoder(path)
+    return state["encoder", path]
 
 
 def _pieces(path: str, capacity: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = Encoder(path), [0] * (capacity + 1), TaskContext.get().partitionId()
+        encode, seen, part = encoder(path), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

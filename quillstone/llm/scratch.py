@@ -47,3 +47,11 @@ def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null becomes the empty text. Pure ASCII texts take the fast path of lower()."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker process: caches in it outlast a task."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("quillstone_worker_state", types.ModuleType("quillstone_worker_state")).__dict__
