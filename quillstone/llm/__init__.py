@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, html_template, packing, source_mix
+from . import exact_dedup, fingerprint, html_template, ngram_join, packing, source_mix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (source_mix.op3_source_mix, html_template.op4_html_main_text, packing.op7_best_fit_packing, exact_dedup.op8_exact_dedup, fingerprint.op10_fingerprints)}
+    return {f.__name__: f for f in (ngram_join.op2_ngram_join, source_mix.op3_source_mix, html_template.op4_html_main_text, packing.op7_best_fit_packing, exact_dedup.op8_exact_dedup, fingerprint.op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
