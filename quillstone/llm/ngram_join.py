@@ -16,7 +16,7 @@ the nodes outside the commonest component are paired with all nodes of other com
 and not n * n, and yet every link between different components is found: component ids are exact. This goes in slices of the signatures,
 each with the labels that the slice before has left.
 
-Before a pair is counted, a parity sketch bounds its difference from below: 512 bits, each the parity of the n-grams hashed to it. Two
+Before a pair is counted, a parity sketch bounds its difference from below: 1024 bits, each the parity of the n-grams hashed to it. Two
 sketches never differ in more bits than the sets differ in n-grams, so what this bound rejects is no link.
 
 Defined results: words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased;
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import keep, table, worker_state
 
-FRAGMENT_BITS = 3  # of the verification: 8 fragments
+FRAGMENT_BITS = 2  # of the verification: 4 fragments
 CACHED_WORDS = 200_000
 CLASS_RATIO = 1.5
-SKETCH = 8  # 64-bit words
-SLICES = ((0, 2), (2, 10), (10, 64))  # of 64: the signatures paired in each round
+SKETCH = 16  # 64-bit words
+SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
 U = np.uint64
 
 
@@ -192,7 +192,7 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = [f"k{i}" for i in range(SKETCH)]
     sets = keep(docs.mapInArrow(_sets(width, t), "doc_id long, n_shingles long, node long, sigs array<long>, " + ", ".join(f"{k} long" for k in words)), "sets")
-    nodes = sets.filter("sigs is not null").groupBy("node").agg(*(F.first(k).alias(k) for k in words))
+    nodes = sets.filter("sigs is not null").select("node", *words).dropDuplicates(["node"])
     sigs = sets.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
     same = Window.partitionBy("sig")
     sets = sets.select("doc_id", "n_shingles", "node")
@@ -207,12 +207,11 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     found = components(links)
 
     # what the pivots leave: nodes of one signature in different components
-    sketched = keep(shared.select("sig", "node", "n").join(nodes, "node"), "sketched")
     for low, high in SLICES:
-        slice_ = sketched.filter(F.pmod("sig", F.lit(64)).between(low, high - 1))
+        slice_ = shared.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).select("sig", "node", "n")
         placed = slice_.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
         per = placed.groupBy("sig", "label").count().groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-        placed = placed.join(per.filter("labels > 1").select("sig", "major"), "sig")
+        placed = placed.join(per.filter("labels > 1").select("sig", "major"), "sig").join(nodes, "node")
         minor = placed.filter("label <> major")
         other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
