@@ -230,5 +230,16 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     return placed.filter("node is not null").join(names, "label").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns kept. Texts without words all stay.
+
+    The ids that go are a narrow table; documents meet them in an anti join, which Spark broadcasts where they are few. Rows that repeat
+    the id that stays stay as well.
+    """
+    found = join_components(docs, width, t, id_col, text_col)
+    gone = keep(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), 4, Fraction(17, 20))
