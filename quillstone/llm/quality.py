@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ CACHED_WORDS = 200_000
 
 
 def subwords(word: str) -> list[int]:
-    """Rows of a word and of its character n-grams. Case and punctuation stay: they tell quality."""
+    """Rows of a word and of its distinct character n-grams. Case and punctuation stay: they tell quality."""
     w = f"<{word[:40]}>"
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {f"={word}"}
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in sorted(grams)]
+    grams = dict.fromkeys([f"={word}"] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)])
+    return [h % BUCKETS for h in map(xxhash.xxh3_64_intdigest, grams)]
 
 
 def shape(w: str) -> str:
@@ -90,46 +91,49 @@ def train(rows: list[tuple[str, int]], seed: int = 3) -> Model:
 
 
 class _Parts(dict):
-    """Word to (sum of its rows' parts, how many)."""
+    """Word to (sum of its rows' parts, how many rows, number of its shape), and what pairs of shapes add."""
 
     def __init__(self, part: np.ndarray):
-        self.part = part
+        self.part, self.shapes, self.pairs = part, {}, {}
+        self.same = float(part[pair_row("a", "a")])
 
-    def __missing__(self, word: str) -> tuple[float, int]:
+    def __missing__(self, word: str) -> tuple[float, int, int]:
         ids = subwords(word)
-        self[word] = out = (float(self.part[ids].sum()), len(ids))
+        kind = self.shapes.setdefault(shape(word), len(self.shapes))
+        self[word] = out = (float(self.part[ids].sum()), len(ids), kind)
         return out
 
+    def pair(self, code: int) -> float:
+        if code not in self.pairs:
+            names = list(self.shapes)
+            row = xxhash.xxh3_64_intdigest(f"{names[code >> 20]} {names[code & (1 << 20) - 1]}") % BUCKETS
+            self.pairs[code] = float(self.part[row])
+        return self.pairs[code]
+
 
 def scorer(model: Model):
     if not len(model.part):
         return lambda text: float(model.prior)
     state = worker_state()
     if state.get("quality key") != model.key:
-        state["quality key"], state["quality parts"], state["quality pairs"] = model.key, _Parts(model.part), {}
+        state["quality key"], state["quality parts"] = model.key, _Parts(model.part)
     parts = state["quality parts"]
-    same = float(model.part[pair_row("a", "a")])
-    kinds: dict = state["quality pairs"]
 
     def score(text: str) -> float:
         if len(parts) > CACHED_WORDS:
             parts.clear()
         words = text.split()
-        total, n = model.offset, 0
+        total = model.offset
         if words:
-            found = [parts[w] for w in words]
-            value, n = sum(f[0] for f in found), sum(f[1] for f in found) + len(words) - 1
-            shapes = list(map(shape, words))
-            for i in range(len(words) - 1):
-                if words[i] == words[i + 1]:
-                    value += same
-                    continue
-                key = (shapes[i], shapes[i + 1])
-                v = kinds.get(key)
-                if v is None:
-                    v = kinds[key] = float(model.part[pair_row(words[i], words[i + 1])])
-                value += v
-            total += value / n
+            values, rows, kinds = zip(*map(parts.__getitem__, words))
+            n = len(words) - 1
+            value = sum(values)
+            if n:
+                equal = np.fromiter(map(eq, words, words[1:]), bool, n)
+                k = np.array(kinds)
+                codes, counts = np.unique((k[:-1] << 20 | k[1:])[~equal], return_counts=True)
+                value += int(equal.sum()) * parts.same + sum(c * parts.pair(code) for code, c in zip(codes.tolist(), counts.tolist()))
+            total += value / (sum(rows) + n)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
     return score
