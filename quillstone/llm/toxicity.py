@@ -30,10 +30,10 @@ from .folds import fold, logistic, training_rows
 from .scratch import table, worker_state
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 OPENING = b" \x01opening\x02 the fixed opening of a window "
 EDGES = b".,!?;:'\"()"
-ORDINARY_BYTES, TOXIC_WORDS, SAMPLE_BYTES = 12_000, 1500, 4 << 20
+ORDINARY_BYTES, TOXIC_WORDS, SAMPLE_BYTES = 12_000, 1500, 2 << 20
 GAINS, LEFTS = 4, 6
 CACHED_WORDS = 200_000
 
@@ -79,24 +79,31 @@ class Windows(dict):
 
 
 def marking_words(texts: list[tuple[str, int]]) -> list[bytes]:
-    """Words with more surroundings in toxic texts than ordinary ones explain, the strongest last."""
-    around: tuple[dict, dict] = ({}, {})
-    total, n = [1, 1], [0, 0]
-    for text, y in sorted(texts, key=lambda r: -r[1]):  # toxic ones first: of the others only their words matter
+    """Words with more surroundings in toxic texts than their occurrences in ordinary ones explain, the strongest last."""
+    around: dict[bytes, set[int]] = {}
+    toxic = [t for t, y in texts if y]
+    n = 1
+    for text in toxic:
         words = words_of(text)
-        total[y] += len(words)
-        n[y] += 1
-        if not y and n[y] == 1:
-            around[0].update((w, set()) for w, seen in around[1].items() if len(seen) >= max(3, 0.005 * n[1]))
+        n += len(words)
         for left, w, right in zip([b""] + words, words, words[1:] + [b""]):
-            if len(w) >= 3 and (y or w in around[0]):
-                around[y].setdefault(w, set()).add(hash((left, right)))
+            if len(w) >= 3:
+                around.setdefault(w, set()).add(hash((left, right)))
+    seen = {w: len(s) for w, s in around.items() if len(s) >= max(3, 0.005 * len(toxic))}
+    del around
+    plain, m = dict.fromkeys(seen, 0), 1
+    for text, y in texts:
+        if not y:
+            words = words_of(text)
+            m += len(words)
+            for w in words:
+                if w in plain:
+                    plain[w] += 1
     found = []
-    for w, plain in around[0].items():
-        seen = around[1][w]
-        a, b = len(seen) / total[1], (len(plain) + 0.5) / total[0]
+    for w, k in seen.items():
+        a, b = k / n, (plain[w] + 0.5) / m
         if b < 0.05 * a:
-            found.append((len(seen) * math.log(a / b), w))
+            found.append((k * math.log(a / b), w))
     return [w for _, w in sorted(found)[-TOXIC_WORDS:]]
 
 
