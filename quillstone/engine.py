@@ -54,7 +54,7 @@ class Engine:
         return query, config
 
     def relation(self, query: A.Query, config: dict[str, str]) -> Relation:
-        low = Lowering(self.spark, self.source, self.base, query.default_graphs, query.named_graphs if query.default_graphs or query.named_graphs else None, self.options | {"config": config})
+        low = Lowering(self.spark, self.source, self.base, query.default_graphs, query.named_graphs if query.default_graphs or query.named_graphs else None, self.options | {"config": config, "wanted": mentioned(query.pattern)})
         return low(query.pattern)
 
     def plain(self, r: Relation, terms: bool = False) -> DataFrame:
@@ -149,6 +149,23 @@ class Engine:
             self.spark.removeTag(tag)
 
 
+def mentioned(x: Any) -> set[str]:
+    """Every variable named anywhere in a pattern."""
+    if isinstance(x, A.Var):
+        return {x.name}
+    if isinstance(x, str):
+        return set()
+    if isinstance(x, tuple) and len(x) == 2 and x[0] == "var":
+        return {x[1]}
+    if isinstance(x, A.Project):
+        return set(x.vars) | mentioned(x.child)
+    if hasattr(x, "__dataclass_fields__"):
+        return set().union(*(mentioned(getattr(x, f)) for f in x.__dataclass_fields__))
+    if isinstance(x, (list, tuple)):
+        return set().union(*map(mentioned, x)) if x else set()
+    return set()
+
+
 def instantiate(engine: Engine, r: Relation, template: list[tuple[A.Triple, Any]]) -> DataFrame:
     """(s, p, o, g) for every solution and template triple that is complete and well formed; blank nodes are new in each solution."""
     names = set(A.variables(A.BGP([t for t, _ in template])))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import builtins, extensions, registry  # noqa: F401  (the first two register functions)
+from ..functions import builtins, extensions, labels, registry  # noqa: F401  (imported ones register functions)
 from ..functions.expressions import Compiler
 from ..plans import algebra as A
 from ..plans.algebra import BGP, IRI, Path, Triple, Var
