@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, their character n-grams (three to five letters, with word edges) and pairs of neighbouring words
+A document's features are its words, their character n-grams (three and four letters, with word edges) and pairs of neighbouring words
 (so repetition is seen), each hashed to a row of a learned embedding table. Their mean goes through a linear layer and a softmax.
 Both layers are trained by stochastic gradient descent in numpy, on the driver, from at most ``TRAINING_ROWS`` labelled rows of at most
 ``TRAINING_WORDS`` words each; a longer document takes part with a window that starts at random in every epoch.
@@ -33,11 +33,15 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 4, 0.5
 CACHED_WORDS = 200_000
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of a word and of its distinct character n-grams. Case and punctuation stay: they tell quality."""
+def subwords(word: str) -> list[str]:
+    """A word and its character n-grams. Case and punctuation stay: they tell quality."""
     w = f"<{word[:40]}>"
-    grams = dict.fromkeys([f"={word}"] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)])
-    return [h % BUCKETS for h in map(xxhash.xxh3_64_intdigest, grams)]
+    n = len(w)
+    return [w[i : i + 3] for i in range(n - 2)] + [w[i : i + 4] for i in range(n - 3)] + ["=" + word]
+
+
+def row_of(gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(gram) % BUCKETS
 
 
 def shape(w: str) -> str:
@@ -72,7 +76,7 @@ def train(rows: list[tuple[str, int]], seed: int = 3) -> Model:
             if len(words) > TRAINING_WORDS:
                 at = int(rng.integers(len(words) - TRAINING_WORDS + 1))
                 words = words[at : at + TRAINING_WORDS]
-            ids = [r for w in words for r in (known.get(w) or known.setdefault(w, subwords(w)))] + [pair_row(a, b) for a, b in zip(words, words[1:])]
+            ids = [r for w in words for r in (known.get(w) or known.setdefault(w, list(map(row_of, subwords(w)))))] + [pair_row(a, b) for a, b in zip(words, words[1:])]
             rate = RATE * (1 - done / steps)
             done += 1
             ids_ = np.array(ids, np.int64)
@@ -90,17 +94,30 @@ def train(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     return Model((table_ @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), prior)
 
 
+class _Grams(dict):
+    """n-gram to its part; n-grams recur far more often than words."""
+
+    def __init__(self, part: np.ndarray):
+        self.part = part
+
+    def __missing__(self, gram: str) -> float:
+        out = float(self.part[row_of(gram)])
+        if len(gram) <= 4:
+            self[gram] = out
+        return out
+
+
 class _Parts(dict):
     """Word to (sum of its rows' parts, how many rows, number of its shape), and what pairs of shapes add."""
 
     def __init__(self, part: np.ndarray):
-        self.part, self.shapes, self.pairs = part, {}, {}
+        self.part, self.shapes, self.pairs, self.grams = part, {}, {}, _Grams(part)
         self.same = float(part[pair_row("a", "a")])
 
     def __missing__(self, word: str) -> tuple[float, int, int]:
-        ids = subwords(word)
+        grams = subwords(word)
         kind = self.shapes.setdefault(shape(word), len(self.shapes))
-        self[word] = out = (float(self.part[ids].sum()), len(ids), kind)
+        self[word] = out = (sum(map(self.grams.__getitem__, grams)), len(grams), kind)
         return out
 
     def pair(self, code: int) -> float:
@@ -122,6 +139,8 @@ def scorer(model: Model):
     def score(text: str) -> float:
         if len(parts) > CACHED_WORDS:
             parts.clear()
+        if len(parts.grams) > CACHED_WORDS:
+            parts.grams.clear()
         words = text.split()
         total = model.offset
         if words:
