@@ -56,7 +56,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
 
 def thresholds(sized: DataFrame, targets: DataFrame, wide: bool) -> DataFrame:
-    """(source, ..., whole, prefix, take_prefix): how often each document is taken at least, and below which hash once more."""
+    """(__source, __whole, __limit): how often each document is taken at least, and below which hash once more."""
     side = (lambda df: df) if wide else F.broadcast
     at = (
         targets.filter("source_size > 0")
@@ -77,7 +77,7 @@ def thresholds(sized: DataFrame, targets: DataFrame, wide: bool) -> DataFrame:
         at = sums.groupBy("__source").agg(edge.alias("edge"), *(F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")))
         at = at.select("__source", "source_size", "target", "whole", "rest", F.col("edge.bucket").alias("prefix"), F.col("edge.under").alias("below"), F.col("edge.upto").alias("upto"))
     nearer = (F.col("upto") - F.col("rest")) < (F.col("rest") - F.col("below"))
-    return at.select("__source", "whole", F.coalesce(F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")), F.lit(1 << LEVEL_BITS * LEVELS)).alias("limit"))
+    return at.select("__source", F.col("whole").alias("__whole"), F.coalesce(F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")), F.lit(1 << LEVEL_BITS * LEVELS)).alias("__limit"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -88,9 +88,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     targets = keep(source_targets(sized, share, most, weights), "targets")
     wide = targets.count() > BROADCAST_SOURCES
     limits = thresholds(sized, targets, wide)
-    per = targets.join(limits, F.col("source").eqNullSafe(F.col("__source")), "left").select(F.col("source").alias("__source"), "source_size", "target", "whole", "limit")
+    per = targets.join(limits, F.col("source").eqNullSafe(F.col("__source")), "left").select(F.col("source").alias("__source"), "source_size", "target", "__whole", "__limit")
     out = sized.join(per if wide else F.broadcast(per), F.col("source").eqNullSafe(F.col("__source")), "left")
-    times = F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("position") < F.col("limit"), 1).otherwise(0)
+    times = F.coalesce(F.col("__whole"), F.lit(0)) + F.when(F.col("position") < F.col("__limit"), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
@@ -102,7 +102,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weig
     wide = targets.count() > BROADCAST_SOURCES
     limits = thresholds(sized, targets, wide)
     out = docs.join(limits if wide else F.broadcast(limits), F.col("source").eqNullSafe(F.col("__source")), "left")
-    times = F.coalesce(F.col("whole"), F.lit(0)) + F.when(position(F.col("doc_id"), F.col("text")) < F.col("limit"), 1).otherwise(0)
+    times = F.coalesce(F.col("__whole"), F.lit(0)) + F.when(position(F.col("doc_id"), F.col("text")) < F.col("__limit"), 1).otherwise(0)
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
