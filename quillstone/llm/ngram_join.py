@@ -43,6 +43,7 @@ from .scratch import keep, table, worker_state
 FRAGMENT_BITS = 2  # of the verification: 4 fragments
 CACHED_WORDS = 200_000
 CLASS_RATIO = 1.5
+BROADCAST_IDS = 500_000  # rows of two numbers
 SKETCH = 16  # 64-bit words
 SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
 U = np.uint64
@@ -166,11 +167,17 @@ def _segments(width: int):
     return run
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for broadcast if their number, which is counted, is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     """Those of the distinct node pairs (a, b, na, nb) whose likeness is ``t`` or more. Only candidates' texts are read as sets again."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     reps = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__doc"))
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    # a narrow table of ids: up to BROADCAST_IDS of them find their texts where these are read, more by a shuffle join
+    texts = docs.join(few(keep(reps, "reps")), F.col("doc_id").eqNullSafe(F.col("__doc")))
     segments = texts.select("node", "text").mapInArrow(_segments(width), "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
     segments = keep(segments, "segments")
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
@@ -233,12 +240,12 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
 def one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns kept. Texts without words all stay.
 
-    The ids that go are a narrow table; documents meet them in an anti join, which Spark broadcasts where they are few. Rows that repeat
+    The ids that go are a narrow table; documents meet them in an anti join, by broadcast if they are counted to be few. Rows that repeat
     the id that stays stay as well.
     """
     found = join_components(docs, width, t, id_col, text_col)
     gone = keep(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(few(gone), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
