@@ -61,12 +61,22 @@ class Lowering:
             from .fulltext import search_relation
 
             parts += search_relation(self, search, graph)
-        for t in paths:
-            parts.append(self(t, graph) if not isinstance(t, Triple) else self.path(t.s, t.p, t.o, graph))
-        out = parts.pop(0)
-        while parts:
-            k = next((i for i, p in enumerate(parts) if out.kinds.keys() & p.kinds.keys()), 0)
-            out = self.algebra.join(out, parts.pop(k))
+        unions = [t for t in paths if not isinstance(t, Triple)]
+        parts += [self(t, graph) for t in unions]
+        repeats = [t for t in paths if isinstance(t, Triple)]
+        out = parts.pop(0) if parts else None
+        while parts or repeats:
+            known = out.kinds.keys() if out is not None else set()
+            k = next((i for i, p in enumerate(parts) if known & p.kinds.keys()), None)
+            if k is None and repeats:
+                # a path comes when one of its ends is bound, if one ever is: it then starts from those bindings
+                k = next((i for i, t in enumerate(repeats) if {x.name for x in (t.s, t.o) if isinstance(x, Var)} & known), None if parts else 0)
+                if k is not None:
+                    t = repeats.pop(k)
+                    r = self.path(t.s, t.p, t.o, graph, out)
+                    out = r if out is None else self.algebra.join(out, r)
+                    continue
+            out = self.algebra.join(out, parts.pop(k or 0))
         return out
 
     def expand(self, triples: list[Triple]) -> list:
@@ -91,7 +101,8 @@ class Lowering:
                 out.append(t)
         return out
 
-    def path(self, s: Any, p: Path, o: Any, graph: Any) -> Relation:
+    def path(self, s: Any, p: Path, o: Any, graph: Any, known: Relation | None = None) -> Relation:
+        """``known``: what is bound already by patterns of the same group; a closure needs to start only there."""
         from .paths import repeat
 
         if p.kind == "negated":
@@ -100,11 +111,14 @@ class Lowering:
             for names, a, b in ((forward, s, o), (backward, o, s)):
                 if names or (not backward and names is forward):
                     v = self.new()
-                    r = self.bgp(BGP([Triple(a, Var(v), b)]), graph)
+                    hint = []  # the class of what is bound already says which table to look in
+                    if isinstance(a, Var) and known is not None and known.kinds.get(a.name, "").startswith("ref:"):
+                        hint = [Triple(a, IRI(A.RDF + "type"), IRI(self.source.refs[known.kinds[a.name][4:]].rstrip("/")))]
+                    r = self.bgp(BGP([Triple(a, Var(v), b), *hint]), graph)
                     r = Relation(r.df.filter(~q(v).isin(["I" + n for n in names])) if names else r.df, r.kinds, r.sure)
                     parts.append(self.algebra.project(r, [x for x in r.kinds if x != v]))
             return reduce(self.algebra.union, parts)
-        return repeat(self, s, p, o, graph)
+        return repeat(self, s, p, o, graph, known)
 
     def join(self, node: A.Join, graph: Any) -> Relation:
         if isinstance(node.right, A.Service):

@@ -13,7 +13,14 @@ from .materialize import materialized
 from .relation import Relation, build, empty, q
 
 
-def repeat(low: Any, s: Any, p: Path, o: Any, graph: Any) -> Relation:
+def domain(low: Any, known: Relation | None, x: Any) -> Value | None:
+    """The bindings an open end has already."""
+    if known is None or not isinstance(x, Var) or x.name not in known.sure or known.kinds[x.name] == "lang":
+        return None
+    return known.value(x.name)
+
+
+def repeat(low: Any, s: Any, p: Path, o: Any, graph: Any, known: Relation | None = None) -> Relation:
     """``s p{least,most} o``; most is None for closures. Zero steps, ``?``, ``*`` and ``+`` give distinct pairs, other bounds keep duplicates."""
     inner, least, most = p.args
     a, b = low.new(), low.new()
@@ -26,18 +33,18 @@ def repeat(low: Any, s: Any, p: Path, o: Any, graph: Any) -> Relation:
             x = low.algebra.project(x, [a, b])
             r = x if r is None else low.algebra.union(r, x)
         if least == 0:
-            zero = identity(low, s, o, a, b, graph)
+            zero = identity(low, s, o, a, b, graph, known)
             r = zero if r is None else low.algebra.union(r, zero)
             r = low.algebra.distinct(r)
     else:
-        r = closure(low, s, inner, o, a, b, graph)
+        r = closure(low, s, inner, o, a, b, graph, known if least <= 1 else None)
         for _ in range(least - 1):  # {n,} with n > 1: n - 1 steps before the closure
             c = low.new()
             step = low.algebra.project(low.bgp(BGP([Triple(Var(c), inner, Var(a))]), graph), [c, a])
             r = low.algebra.project(low.algebra.join(step, r), [c, b])
             a = c
         if least == 0:
-            r = low.algebra.union(r, identity(low, s, o, a, b, graph))
+            r = low.algebra.union(r, identity(low, s, o, a, b, graph, known))
         r = low.algebra.distinct(r)
     return bind_ends(low, r, a, b, s, o)
 
@@ -59,11 +66,17 @@ def bind_ends(low: Any, r: Relation, a: str, b: str, s: Any, o: Any) -> Relation
     return build(df, values, set(values))
 
 
-def identity(low: Any, s: Any, o: Any, a: str, b: str, graph: Any) -> Relation:
-    """Zero steps: a constant end is linked to itself, in the data or not; two open ends range over all nodes."""
+def identity(low: Any, s: Any, o: Any, a: str, b: str, graph: Any, known: Relation | None = None) -> Relation:
+    """Zero steps: a constant end is linked to itself, in the data or not; two open ends range over all nodes, or over what one of them is
+    bound to already."""
     fixed = s if not isinstance(s, Var) else o if not isinstance(o, Var) else None
     if fixed is not None:
         return build(low.spark.range(1), {a: constant(fixed), b: constant(fixed)}, {a, b})
+    for end in (s, o):
+        v = domain(low, known, end)
+        if v is not None:
+            nodes = known.df.select(v.col.alias("n")).distinct()
+            return build(nodes, {a: Value(q("n"), v.kind), b: Value(q("n"), v.kind)}, {a, b})
     t = low.source.triples(graph)
     nodes = t.select(F.col("s").alias("n")).union(t.select("o")).distinct()
     return build(nodes, {a: Value(q("n"), "term"), b: Value(q("n"), "term")}, {a, b})
@@ -79,7 +92,7 @@ def edges(low: Any, inner: Path, graph: Any) -> tuple[DataFrame, str, str]:
     return r.df.select(u.col.alias("x"), v.col.alias("y")).distinct(), u.kind, x
 
 
-def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any) -> Relation:
+def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any, known: Relation | None = None) -> Relation:
     """Pairs linked by one or more steps. A constant end makes it a search from there. Rounds end when nothing is new; every round's
     pairs are written to the shared folder, so plans stay small and a lost executor costs one round."""
     df, kind, _ = edges(low, inner, graph)
@@ -96,6 +109,15 @@ def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any) -
         c = low.compiler({})
         v, k = Value(F.col("x"), kind), constant(fixed)
         seen = pairs.filter(c.compare("=", v, k) if kind.startswith("ref:") else low.algebra.same(v, k))
+    else:
+        v = domain(low, known, s)
+        if v is None and domain(low, known, o) is not None:
+            v, start, end = domain(low, known, o), "y", "x"
+            pairs = df.select(F.col(start).alias("x"), F.col(end).alias("y"))
+            seen = pairs
+        if v is not None:
+            only = known.df.select(v.col.alias("__from")).distinct()
+            seen = pairs.join(only, low.algebra.same(Value(F.col("x"), kind), Value(F.col("__from"), v.kind)), "left_semi")
     seen = materialized(seen)
     newest = seen
     while not newest.isEmpty():
