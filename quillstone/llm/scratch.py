@@ -36,7 +36,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes the files of a kept table that no plan needs any more."""
+    at = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._kept_at).getParent()
+    at.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +57,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def worker_state() -> dict:
-    """A dict that lives as long as the Python worker process: caches in it outlast a task."""
+def worker_state(owner: str) -> dict:
+    """A dict that lives as long as the Python worker process: caches in it outlast a task. It holds one owner's things at a time, so a
+    worker that has served several operators keeps the memory of the last one only."""
     import sys
     import types
 
-    return sys.modules.setdefault("quillstone_worker_state", types.ModuleType("quillstone_worker_state")).__dict__
+    state = sys.modules.setdefault("quillstone_worker_state", types.ModuleType("quillstone_worker_state")).__dict__
+    if state.get("owner") != owner:
+        state["owner"], state["held"] = owner, {}
+    return state["held"]

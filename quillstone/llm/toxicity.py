@@ -5,8 +5,9 @@ dictionary is trained on what sets them apart: words that occur in many differen
 ordinary ones (surroundings, not occurrences, so that copies of one document count once). It ends with the ordinary dictionary, so
 that both compress ordinary text alike.
 
-A window is one word with its spaces, behind a fixed opening that both dictionaries hold; so a frame's fixed costs cancel, and the
-difference of the two compressed lengths says what toxic text alone predicts. Windows are counted by how much they gain and how much is
+A window is one word with its spaces between a fixed opening and a fixed closing that both dictionaries hold; so a frame's fixed costs
+cancel (and the last bytes of a block, where zstandard looks for no matches, are the closing's), and the difference of the two
+compressed lengths says what toxic text alone predicts. Windows are counted by how much they gain and how much is
 left over; thresholds on these counts come from logistic regression on training documents that the dictionary hasn't seen.
 
 The model is fitted on the driver from at most ``TRAINING_ROWS`` labelled rows, and is some 20 kB. Scoring covers whole texts.
@@ -32,6 +33,7 @@ from .scratch import table, worker_state
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 TRAINING_ROWS = 8_000
 OPENING = b" \x01opening\x02 the fixed opening of a window "
+CLOSING = b" \x03 and the fixed closing of a window \x04"
 EDGES = b".,!?;:'\"()"
 ORDINARY_BYTES, TOXIC_WORDS, SAMPLE_BYTES = 12_000, 1500, 2 << 20
 GAINS, LEFTS = 4, 6
@@ -60,11 +62,11 @@ class Windows(dict):
             d.precompute_compress(compression_params=params)
             return z.ZstdCompressor(dict_data=d, compression_params=params).compress
 
-        self.plain, self.marked = compressor(ordinary + OPENING), compressor(toxic + ordinary + OPENING)
-        self.base = len(self.marked(OPENING + b"  "))
+        self.plain, self.marked = compressor(ordinary + CLOSING + OPENING), compressor(toxic + ordinary + CLOSING + OPENING)
+        self.base = len(self.marked(OPENING + CLOSING))
 
     def __missing__(self, word: bytes) -> int:
-        window = OPENING + b" " + word + b" "
+        window = OPENING + b" " + word + b" " + CLOSING
         short = len(self.marked(window))
         gain = len(self.plain(window)) - short
         self[word] = out = 0 if gain < 2 else 1 + min(gain - 2, GAINS - 1) + GAINS * max(0, min(short - self.base - 1, LEFTS - 1))
@@ -80,16 +82,20 @@ class Windows(dict):
 
 def marking_words(texts: list[tuple[str, int]]) -> list[bytes]:
     """Words with more surroundings in toxic texts than their occurrences in ordinary ones explain, the strongest last."""
-    around: dict[bytes, set[int]] = {}
+    around: dict[bytes, tuple[set[int], set[int]]] = {}  # surroundings, texts
     toxic = [t for t, y in texts if y]
     n = 1
-    for text in toxic:
+    for i, text in enumerate(toxic):
         words = words_of(text)
         n += len(words)
         for left, w, right in zip([b""] + words, words, words[1:] + [b""]):
             if len(w) >= 3:
-                around.setdefault(w, set()).add(hash((left, right)))
-    seen = {w: len(s) for w, s in around.items() if len(s) >= max(3, 0.005 * len(toxic))}
+                pair = around.setdefault(w, (set(), set()))
+                pair[0].add(hash((left, right)))
+                pair[1].add(i)
+    # near copies share surroundings, and a text that repeats its own word is one text
+    seen = {w: min(map(len, s)) for w, s in around.items()}
+    seen = {w: k for w, k in seen.items() if k >= max(3, 0.005 * len(toxic))}
     del around
     plain, m = dict.fromkeys(seen, 0), 1
     for text, y in texts:
@@ -138,7 +144,7 @@ def scorer(model: Model):
     """A function from a text to its score; the windows' cache lives as long as the worker."""
     if not len(model.weights):
         return lambda text: float(model.prior)
-    state = worker_state()
+    state = worker_state("toxicity")
     if state.get("toxic key") != model.key:
         state["toxic key"], state["toxic windows"] = model.key, Windows(model.ordinary, model.toxic)
     windows = state["toxic windows"]
