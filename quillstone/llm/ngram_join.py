@@ -10,9 +10,9 @@ fragment. That serves twice:
   classes by size, each with its own number of fragments; a set takes part in every class that a partner's size can belong to.
 * Verification. The overlap of a candidate pair is counted fragment by fragment and summed per pair.
 
-Documents with equal sets are one node from the start. Among nodes with a common signature the least is the pivot: only pairs with it
-are counted first. What they link needs no further pair among itself. Then the components so far are labelled, and for each signature
-the nodes outside the commonest component are paired with all nodes of other components; so a group of n near copies costs about n pairs
+Documents with equal sets are one node from the start. Up to ``SMALL`` nodes with a common signature are paired directly. Among more the
+least is the pivot: only pairs with it are counted first. What they link needs no further pair among itself. Then the components so far
+are labelled, and for each signature the nodes outside the pivot's component are paired with all nodes of other components; so a group of n near copies costs about n pairs
 and not n * n, and yet every link between different components is found: component ids are exact. This goes in slices of the signatures,
 each with the labels that the slice before has left.
 
@@ -38,13 +38,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import keep, table, worker_state
+from .scratch import discard, keep, table, worker_state
 
 FRAGMENT_BITS = 2  # of the verification: 4 fragments
 CACHED_WORDS = 200_000
 CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
-SKETCH = 16  # 64-bit words
+SKETCH, COARSE = 16, 4  # 64-bit words; the first COARSE of them meet in joins by signature
+SMALL = 16  # nodes of a signature that are paired without a pivot
 SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
 U = np.uint64
 
@@ -57,7 +58,7 @@ class _Hashes(dict):
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the lower-cased words of ``text``."""
-    known = worker_state().setdefault("word hashes", _Hashes())
+    known = worker_state("words").setdefault("word hashes", _Hashes())
     if len(known) > CACHED_WORDS:
         known.clear()
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -194,44 +195,64 @@ def plausible(na: Column, nb: Column, a: list[Column], b: list[Column], t: Fract
     return (F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator) & (differ * (t.denominator + t.numerator) <= (na + nb) * (t.denominator - t.numerator))
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those whose sketches allow a likeness of ``t``."""
+    words = [f"k{i}" for i in range(SKETCH)]
+    one, two = (nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
+    near = plausible(F.col("na"), F.col("nb"), *([F.col(f"{x}_{k}") for k in words] for x in "ab"), t)
+    return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "na", "nb")
+
+
+def small_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs of the nodes of each signature that at most ``SMALL`` nodes have, as (a, b, na, nb) with a < b."""
+    groups = shared.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("g"))
+    after = lambda g, i: F.slice(g, i + 2, F.size(g))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(after(F.col("g"), i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    return groups.select(F.inline(pairs))
+
+
 def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = [f"k{i}" for i in range(SKETCH)]
-    sets = keep(docs.mapInArrow(_sets(width, t), "doc_id long, n_shingles long, node long, sigs array<long>, " + ", ".join(f"{k} long" for k in words)), "sets")
-    nodes = sets.filter("sigs is not null").select("node", *words).dropDuplicates(["node"])
-    sigs = sets.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
+    made = keep(docs.mapInArrow(_sets(width, t), "doc_id long, n_shingles long, node long, sigs array<long>, " + ", ".join(f"{k} long" for k in words)), "made")
+    sets = keep(made.select("doc_id", "n_shingles", "node"), "sets")
+    sigs = made.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
     same = Window.partitionBy("sig")
-    sets = sets.select("doc_id", "n_shingles", "node")
-    shared = sigs.withColumn("least", F.min(F.struct("node", "n")).over(same)).withColumn("most", F.max("node").over(same)).filter("least.node <> most").drop("most")
+    shared = sigs.withColumns({"least": F.min(F.struct("node", "n")).over(same), "most": F.max("node").over(same), "m": F.count(F.lit(1)).over(same)}).filter("least.node <> most").drop("most")
     shared = keep(shared.dropDuplicates(["sig", "node"]), "shared")
-
-    pairs = shared.filter("node <> least.node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb")).distinct()
-    one, two = (nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
-    near = plausible(F.col("na"), F.col("nb"), *([F.col(f"{x}_{k}") for k in words] for x in "ab"), t)
-    pairs = keep(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "na", "nb"), "pairs")
+    nodes = keep(made.filter("sigs is not null").select("node", *words).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    discard(made)
+
+    large = shared.filter(F.col("m") > SMALL)
+    fits = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
+    pivots = large.filter("node <> least.node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
+    pairs = small_pairs(shared).unionByName(pivots).filter(fits(F.col("na"), F.col("nb"))).distinct()
+    pairs = keep(near_pairs(pairs, nodes, t), "pairs")
     links = keep(linked(pairs, sets, docs, width, t), "links")
-    found = components(links)
+    found = keep(components(links), "found")
 
-    # what the pivots leave: nodes of one signature in different components
+    # what the pivots leave of the large groups: nodes of one signature in different components
+    coarse = words[:COARSE]
     for low, high in SLICES:
-        slice_ = shared.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).select("sig", "node", "n")
-        placed = slice_.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        per = placed.groupBy("sig", "label").count().groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
-        placed = placed.join(per.filter("labels > 1").select("sig", "major"), "sig").join(nodes, "node")
+        slice_ = large.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).select("sig", "node", "n", F.col("least.node").alias("pivot"))
+        labels = few(found)
+        placed = slice_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = placed.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
+        placed = placed.join(few(nodes.select("node", *coarse)), "node")
         minor = placed.filter("label <> major")
-        other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
+        other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *coarse)))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
-        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in words] for x in ("", "_")), t))
+        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in coarse] for x in ("", "_")), t))
         first = F.col("node") < F.col("node_")
         rest = met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "node_", "a"), ("node_", "node", "b"), ("n", "n_", "na"), ("n_", "n", "nb")))).distinct()
-        rest = keep(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        rest = keep(near_pairs(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), nodes, t), "rest")
         if rest.isEmpty():
             continue
         links = keep(links.union(linked(rest, sets, docs, width, t)), "links")
-        found = components(links)
+        found = keep(components(links), "found")
 
-    placed = sets.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = sets.join(few(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = placed.filter("node is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     alone = placed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.filter("node is not null").join(names, "label").select("doc_id", "n_shingles", "component_id").unionByName(alone)

@@ -69,10 +69,8 @@ class Encoder:
         import regex
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, pre = file["model"], file.get("pre_tokenizer") or {}
@@ -89,6 +87,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.known is None or any(s in text for s in self.special) or not text.isascii() and self.odd(text):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                self.tokenizer = Tokenizer.from_file(self.path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
@@ -97,7 +100,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of ``path``; it outlasts the task."""
-    state = worker_state()
+    state = worker_state("packing")
     if ("encoder", path) not in state:
         state["encoder", path] = Encoder(path)
     return state["encoder", path]

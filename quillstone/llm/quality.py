@@ -131,7 +131,7 @@ class _Parts(dict):
 def scorer(model: Model):
     if not len(model.part):
         return lambda text: float(model.prior)
-    state = worker_state()
+    state = worker_state("quality")
     if state.get("quality key") != model.key:
         state["quality key"], state["quality parts"] = model.key, _Parts(model.part)
     parts = state["quality parts"]
