@@ -41,7 +41,7 @@ from .components import components
 from .scratch import discard, keep, table, worker_state
 
 FRAGMENT_BITS = 2  # of the verification: 4 fragments
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
 CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
 SKETCH, COARSE = 16, 4  # 64-bit words; the first COARSE of them meet in joins by signature
@@ -179,11 +179,13 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, t: Fr
     reps = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__doc"))
     # a narrow table of ids: up to BROADCAST_IDS of them find their texts where these are read, more by a shuffle join
     texts = docs.join(few(keep(reps, "reps")), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    segments = texts.select("node", "text").mapInArrow(_segments(width), "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
-    segments = keep(segments, "segments")
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("partial"))
+    segments = keep(texts.select("node", "text").mapInArrow(_segments(width), "node long, fragment int, grams array<long>"), "segments")
+    known = few(pairs)
+    left = segments.join(known.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", "na", "nb", "fragment", F.col("grams").alias("ga"))
+    right = segments.join(known.select("a", F.col("b").alias("node")), "node").select("a", F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
+    partial = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("partial"))
+    # rows that repeat an id give a fragment twice
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("partial").alias("partial"))
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
     # overlap / (na + nb - overlap) >= t
     return overlap.filter(F.col("overlap") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator).select("a", "b")
@@ -198,6 +200,9 @@ def plausible(na: Column, nb: Column, a: list[Column], b: list[Column], t: Fract
 def near_pairs(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     """Of the pairs (a, b, na, nb) those whose sketches allow a likeness of ``t``."""
     words = [f"k{i}" for i in range(SKETCH)]
+    pairs = keep(pairs, "raw")
+    wanted = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    nodes = nodes.join(few(wanted), "node", "left_semi")
     one, two = (nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
     near = plausible(F.col("na"), F.col("nb"), *([F.col(f"{x}_{k}") for k in words] for x in "ab"), t)
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "na", "nb")

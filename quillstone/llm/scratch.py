@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000  # rows that a Python worker holds at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +36,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS, None)
+    spark.conf.set(BATCH_ROWS, str(ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -66,4 +72,15 @@ def worker_state(owner: str) -> dict:
     state = sys.modules.setdefault("quillstone_worker_state", types.ModuleType("quillstone_worker_state")).__dict__
     if state.get("owner") != owner:
         state["owner"], state["held"] = owner, {}
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
     return state["held"]
