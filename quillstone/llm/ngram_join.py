@@ -44,7 +44,7 @@ FRAGMENT_BITS = 2  # of the verification: 4 fragments
 CACHED_WORDS = 120_000
 CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
-SKETCH, COARSE = 16, 4  # 64-bit words; the first COARSE of them meet in joins by signature
+SKETCH = 16  # 64-bit words
 SMALL = 16  # nodes of a signature that are paired without a pivot
 SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
 U = np.uint64
@@ -168,9 +168,9 @@ def _segments(width: int):
     return run
 
 
-def few(ids: DataFrame) -> DataFrame:
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` marked for broadcast if their number, which is counted, is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
@@ -238,20 +238,19 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     found = keep(components(links), "found")
 
     # what the pivots leave of the large groups: nodes of one signature in different components
-    coarse = words[:COARSE]
     for low, high in SLICES:
         slice_ = large.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).select("sig", "node", "n", F.col("least.node").alias("pivot"))
         labels = few(found)
         placed = slice_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         placed = placed.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
-        placed = placed.join(few(nodes.select("node", *coarse)), "node")
+        placed = placed.join(few(nodes, BROADCAST_IDS // 5), "node")
         minor = placed.filter("label <> major")
-        other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *coarse)))
+        other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
-        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in coarse] for x in ("", "_")), t))
+        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in words] for x in ("", "_")), t))
         first = F.col("node") < F.col("node_")
         rest = met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "node_", "a"), ("node_", "node", "b"), ("n", "n_", "na"), ("n_", "n", "nb")))).distinct()
-        rest = keep(near_pairs(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), nodes, t), "rest")
+        rest = keep(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             continue
         links = keep(links.union(linked(rest, sets, docs, width, t)), "links")
