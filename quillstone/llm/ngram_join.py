@@ -45,7 +45,7 @@ CACHED_WORDS = 120_000
 CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
 SKETCH = 16  # 64-bit words
-SMALL = 16  # nodes of a signature that are paired without a pivot
+SMALL = 4  # nodes of a signature that are paired without a pivot
 SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
 U = np.uint64
 
