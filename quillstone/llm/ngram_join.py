@@ -234,8 +234,17 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     pivots = large.filter("node <> least.node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
     pairs = small_pairs(shared).unionByName(pivots).filter(fits(F.col("na"), F.col("nb"))).distinct()
     pairs = keep(near_pairs(pairs, nodes, t), "pairs")
-    links = keep(linked(pairs, sets, docs, width, t), "links")
+    # a node is counted with its least partner first; other pairs only if that leaves them in different components
+    nearest = keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb"), "nearest")
+    links = keep(linked(nearest, sets, docs, width, t), "links")
     found = keep(components(links), "found")
+    apart = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+    for x in "ab":
+        apart = apart.join(few(found).select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    apart = keep(apart.filter("label_a <> label_b").select("a", "b", "na", "nb"), "apart")
+    if not apart.isEmpty():
+        links = keep(links.union(linked(apart, sets, docs, width, t)), "links")
+        found = keep(components(links), "found")
 
     # what the pivots leave of the large groups: nodes of one signature in different components
     for low, high in SLICES:
