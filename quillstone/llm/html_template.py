@@ -5,11 +5,12 @@ the host; the vector is kept as an exclusive-or of hashes of (page, count), whic
 with equal vectors are an equivalence class. Classes whose tokens occur once in every page are the skeleton of the template; classes
 with other vectors are valid if one skeleton token encloses all of their tokens, and nest there. What lies between skeleton tokens
 are slots. A host's main slot is the one with most text that differs between pages and isn't in links; text that every page
-repeats there belongs to the template. Elements that say what they are (nav, footer, aside, form, class="comments", ...) never count,
-and where a page marks its article, that is the slot.
+repeats there belongs to the template. Elements that say what they are (nav, footer,
+aside, form, class="comments", ...) never count. The slot decides where the text is; marks that pages set themselves (article, main) say
+how far a marked slot reaches, and which blocks of it count where they hold most of its text. Alone they serve only pages without the slot
+and hosts of fewer than ``SUPPORT`` pages.
 
-Only one row per (host, path) travels, summed in each task before it does, so no task gathers a host's pages. Hosts of fewer than
-``SUPPORT`` pages have no occurrence vectors to compare; their slot is found in the page itself.
+Only one row per (host, path) travels, summed in each task before it does, so no task gathers a host's pages.
 
 Defined results: null html is an empty page and gives an empty text; a null url is a host of its own; repeated rows give repeated
 results; unclosed tags and quotes end as browsers end them, a cut tag at the end is dropped.
@@ -152,9 +153,10 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, pages, vector, ones, chars, linked, low, high): what a task's pages say of each path; low = high if its text never differs."""
+    """(host, path, pages, vector, ones, chars, articles, mains, low, high): what a task's pages say of each path; low = high if its text never
+    differs, articles and mains count the characters marked so."""
     seen: dict[tuple, list] = {}
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("pages", pa.int64()), ("vector", pa.int64()), ("ones", pa.int64()), ("chars", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("pages", pa.int64()), ("vector", pa.int64()), ("ones", pa.int64()), ("chars", pa.int64()), ("articles", pa.int64()), ("mains", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, *v) for k, v in seen.items())), schema.types)], schema=schema)
@@ -164,31 +166,35 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             blocks, counts = parse(page.as_py() or "")
-            texts: dict[str, tuple[int, int]] = {}
-            for path, text, noise, _, _, linked in blocks:
+            counts[""] = 1  # the page itself, so that a host has one path at least that all of its pages have
+            texts: dict[str, tuple[int, int, int, int]] = {}
+            for path, text, noise, article, main, linked in blocks:
                 if not noise:
-                    chars, digest = texts.get(path, (0, 0))
-                    texts[path] = chars + max(0, len(text) - linked), xxhash.xxh3_64_intdigest(f"{digest} {text}")
+                    chars, articles, mains, digest = texts.get(path, (0, 0, 0, 0))
+                    own = max(0, len(text) - linked)
+                    texts[path] = chars + own, articles + own * article, mains + own * main, xxhash.xxh3_64_intdigest(f"{digest} {text}")
             for path, n in counts.items():
-                chars, digest = texts.get(path, (0, 0))
+                chars, articles, mains, digest = texts.get(path, (0, 0, 0, 0))
                 digest = (digest & (1 << 63) - 1) if path in texts else 0
                 vector = xxhash.xxh3_64_intdigest(f"{page_id} {n}") - (1 << 63)
                 s = seen.get((host, path))
                 if s is None:
-                    seen[host, path] = [1, vector, int(n == 1), chars, digest, digest]
+                    seen[host, path] = [1, vector, int(n == 1), chars, articles, mains, digest, digest]
                 else:
                     s[0] += 1
                     s[1] ^= vector
                     s[2] += n == 1
                     s[3] += chars
-                    s[4], s[5] = min(s[4], digest), max(s[5], digest)
+                    s[4] += articles
+                    s[5] += mains
+                    s[6], s[7] = min(s[6], digest), max(s[7], digest)
             if len(seen) > 50_000:
                 yield out()
     if seen:
         yield out()
 
 
-def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[int], chars: list[int], fixed: list[bool]) -> tuple[str | None, list[str]]:
+def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[int], chars: list[int], articles: list[int], mains: list[int], fixed: list[bool]) -> tuple[str | None, list[str]]:
     """(path of the main slot, paths whose text belongs to the template) of a host, from its equivalence classes."""
     n = max(pages)
     classes: dict[int, list[int]] = {}
@@ -201,40 +207,55 @@ def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[in
             path = path.rpartition("/")[0]
         return path
 
-    content: dict[str, int] = {}
+    content, in_article, in_main = {}, {}, {}
     for members in classes.values():
         homes = {slot(paths[i]) for i in members} if paths[members[0]] not in skeleton else set()
         for i in members:
             # a class that isn't enclosed by one slot isn't valid; its members are judged one by one
             home = slot(paths[i]) if len(homes) != 1 else next(iter(homes))
             if not (fixed[i] and n >= SUPPORT):
-                content[home] = content.get(home, 0) + chars[i]
+                for weights, own in ((content, chars), (in_article, articles), (in_main, mains)):
+                    weights[home] = weights.get(home, 0) + own[i]
     if not content or not max(content.values()):
         return None, []
-    main = max(content, key=lambda k: (content[k], -len(k)))
-    # text split over sibling slots of one parent (a headline beside a body) is read together
+
+    def within(weights: dict[str, int], path: str) -> int:
+        return sum(v for k, v in weights.items() if k == path or k.startswith(path + "/"))
+
+    main = max(content, key=lambda k: (content[k], in_article[k], in_main[k], -len(k)))
+    marks = next((w for w in (in_article, in_main) if 2 * w[main] >= content[main]), None)
     parent = main.rpartition("/")[0]
-    if parent and parent.count("/") > 1 and sum(v for k, v in content.items() if k.startswith(parent + "/")) > content[main]:
-        main = parent
+    if marks:  # a marked slot is read with what is marked around it
+        up = main
+        while up:
+            up = up.rpartition("/")[0]
+            if within(marks, up) > within(marks, main):
+                main = up
+    elif parent.count("/") > 1 and within(content, parent) > within(content, main):
+        main = parent  # text split over sibling slots of one parent (a headline beside a body) is read together
     return main, [paths[i] for i in range(len(paths)) if fixed[i] and chars[i] and n >= SUPPORT and paths[i].startswith(main)]
 
 
 def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
-    main, fixed = deduce(*(pdf[c].tolist() for c in ("path", "pages", "vector", "ones", "chars")), (pdf["low"] == pdf["high"]).tolist())
+    main, fixed = deduce(*(pdf[c].tolist() for c in ("path", "pages", "vector", "ones", "chars", "articles", "mains")), (pdf["low"] == pdf["high"]).tolist())
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "pages": [int(pdf["pages"].max())], "main": [main], "fixed": [fixed]})
 
 
 def main_text(page: str, main: str | None, fixed: list[str], pages: int) -> str:
     """A page's main text, given its host's template."""
     blocks = [b for b in parse(page)[0] if not b[2]]
-    for mark in (3, 4):  # what the page itself calls its article, or else its main part
-        if any(b[mark] for b in blocks):
-            return " ".join(b[1] for b in blocks if b[mark])
     if pages >= SUPPORT and main is not None:
         skip = set(fixed)
-        inside = [b[1] for b in blocks if (b[0] == main or b[0].startswith(main + "/")) and b[0] not in skip]
+        inside = [b for b in blocks if (b[0] == main or b[0].startswith(main + "/")) and b[0] not in skip]
+        for mark in (3, 4):
+            if 2 * sum(len(b[1]) for b in inside if b[mark]) > sum(len(b[1]) for b in inside):
+                inside = [b for b in inside if b[mark]]
+                break
         if inside:
-            return " ".join(inside)
+            return " ".join(b[1] for b in inside)
+    for mark in (3, 4):  # what the page itself calls its article, or else its main part
+        if any(b[mark] for b in blocks):
+            return " ".join(b[1] for b in blocks if b[mark])
     # one page alone: the smallest element that holds most of its text outside links
     weights: dict[str, int] = {}
     for path, text, _, _, _, linked in blocks:
@@ -260,8 +281,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars. The templates are one row per host; pages take theirs by an equi-join on the host,
     which Spark broadcasts where the templates are few and splits where a host is large."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit(""))).alias("host"))
-    tokens = rows.select("host", F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")).alias("page"), "html").mapInArrow(_tokens, "host string, path string, pages long, vector long, ones long, chars long, low long, high long")
-    tokens = tokens.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("ones").alias("ones"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
+    tokens = rows.select("host", F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")).alias("page"), "html").mapInArrow(_tokens, "host string, path string, pages long, vector long, ones long, chars long, articles long, mains long, low long, high long")
+    tokens = tokens.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("ones").alias("ones"), F.sum("chars").alias("chars"), *(F.sum(c).alias(c) for c in ("articles", "mains")), F.min("low").alias("low"), F.max("high").alias("high"))
     templates = tokens.groupBy("host").applyInPandas(_templates, "host string, pages long, main string, fixed array<string>")
     kind = pages.schema[id_col].dataType.simpleString()
     return rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "fixed", "pages").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

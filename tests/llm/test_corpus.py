@@ -313,6 +313,22 @@ def test_html_alone_and_broken(spark):
     assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def main_texts(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_template_decides_before_marks(spark):
+    rng = random.Random(4)
+    bodies = [[" ".join(words(rng, 30)) for _ in range(3)] for _ in range(8)]
+    teaser = "<article><p>The same words stand in this article on each page</p></article>"
+    got = main_texts(spark, [f"<html><body>{teaser}<div class=post>{''.join(f'<p>{p}</p>' for p in b)}</div></body></html>" for b in bodies])
+    assert got == {i: " ".join(b) for i, b in enumerate(bodies)}
+    # a mark bounds its slot: what varies beside it stays out, its headline stays in
+    got = main_texts(spark, [f"<html><body><div class=when>{b[0][:9]}</div><article><header><h1>{b[1]}</h1></header><div><p>{b[2]}</p><p>{b[0]}</p></div></article></body></html>" for b in bodies])
+    assert got == {i: f"{b[1]} {b[2]} {b[0]}" for i, b in enumerate(bodies)}
+
+
 # WARC
 
 
