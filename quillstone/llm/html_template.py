@@ -5,12 +5,13 @@ the host; the vector is kept as an exclusive-or of hashes of (page, count), whic
 with equal vectors are an equivalence class. Classes whose tokens occur once in every page are the skeleton of the template; classes
 with other vectors are valid if one skeleton token encloses all of their tokens, and nest there. What lies between skeleton tokens
 are slots. A host's main slot is the one with most text that differs between pages and isn't in links; text that every page
-repeats there belongs to the template. Elements that say what they are (nav, footer,
+repeats there belongs to the template, if ``SUPPORT`` distinct pages at least have it. Elements that say what they are (nav, footer,
 aside, form, class="comments", ...) never count. The slot decides where the text is; marks that pages set themselves (article, main) say
 how far a marked slot reaches, and which blocks of it count where they hold most of its text. Alone they serve only pages without the slot
-and hosts of fewer than ``SUPPORT`` pages.
+and hosts of fewer than ``SUPPORT`` distinct pages (copies of one page, whatever stands in their noise, teach nothing of what differs).
 
-Only one row per (host, path) travels, summed in each task before it does, so no task gathers a host's pages.
+Only one row per (host, path) travels, summed in each task before it does, so no task gathers a host's pages. Of the digests of a path's
+distinct pages the least ``SUPPORT`` travel, which is enough to tell whether there are so many.
 
 Defined results: null html is an empty page and gives an empty text; a null url is a host of its own; repeated rows give repeated
 results; unclosed tags and quotes end as browsers end them, a cut tag at the end is dropped.
@@ -153,10 +154,10 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, pages, vector, ones, chars, articles, mains, low, high): what a task's pages say of each path; low = high if its text never
-    differs, articles and mains count the characters marked so."""
+    """(host, path, pages, vector, ones, chars, articles, mains, low, high, texts): what a task's pages say of each path; low = high if its text never
+    differs, articles and mains count the characters marked so, and texts are the least digests of the distinct pages that have it."""
     seen: dict[tuple, list] = {}
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("pages", pa.int64()), ("vector", pa.int64()), ("ones", pa.int64()), ("chars", pa.int64()), ("articles", pa.int64()), ("mains", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("pages", pa.int64()), ("vector", pa.int64()), ("ones", pa.int64()), ("chars", pa.int64()), ("articles", pa.int64()), ("mains", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("texts", pa.list_(pa.int64()))])
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, *v) for k, v in seen.items())), schema.types)], schema=schema)
@@ -173,13 +174,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     chars, articles, mains, digest = texts.get(path, (0, 0, 0, 0))
                     own = max(0, len(text) - linked)
                     texts[path] = chars + own, articles + own * article, mains + own * main, xxhash.xxh3_64_intdigest(f"{digest} {text}")
+            whole = xxhash.xxh3_64_intdigest(" ".join(b[1] for b in blocks if not b[2])) & (1 << 63) - 1
             for path, n in counts.items():
                 chars, articles, mains, digest = texts.get(path, (0, 0, 0, 0))
                 digest = (digest & (1 << 63) - 1) if path in texts else 0
                 vector = xxhash.xxh3_64_intdigest(f"{page_id} {n}") - (1 << 63)
                 s = seen.get((host, path))
                 if s is None:
-                    seen[host, path] = [1, vector, int(n == 1), chars, articles, mains, digest, digest]
+                    seen[host, path] = [1, vector, int(n == 1), chars, articles, mains, digest, digest, [whole]]
                 else:
                     s[0] += 1
                     s[1] ^= vector
@@ -188,6 +190,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s[4] += articles
                     s[5] += mains
                     s[6], s[7] = min(s[6], digest), max(s[7], digest)
+                    if whole not in s[8]:
+                        s[8] = sorted([*s[8], whole])[:SUPPORT]
             if len(seen) > 50_000:
                 yield out()
     if seen:
@@ -195,7 +199,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[int], chars: list[int], articles: list[int], mains: list[int], fixed: list[bool]) -> tuple[str | None, list[str]]:
-    """(path of the main slot, paths whose text belongs to the template) of a host, from its equivalence classes."""
+    """(path of the main slot, paths whose text belongs to the template) of a host, from its equivalence classes; ``fixed`` says which paths
+    have the same text on SUPPORT distinct pages or more, and on all that have the path."""
     n = max(pages)
     classes: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
@@ -213,7 +218,7 @@ def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[in
         for i in members:
             # a class that isn't enclosed by one slot isn't valid; its members are judged one by one
             home = slot(paths[i]) if len(homes) != 1 else next(iter(homes))
-            if not (fixed[i] and n >= SUPPORT):
+            if not fixed[i]:
                 for weights, own in ((content, chars), (in_article, articles), (in_main, mains)):
                     weights[home] = weights.get(home, 0) + own[i]
     if not content or not max(content.values()):
@@ -233,16 +238,16 @@ def deduce(paths: list[str], pages: list[int], vectors: list[int], ones: list[in
                 main = up
     elif parent.count("/") > 1 and within(content, parent) > within(content, main):
         main = parent  # text split over sibling slots of one parent (a headline beside a body) is read together
-    return main, [paths[i] for i in range(len(paths)) if fixed[i] and chars[i] and n >= SUPPORT and paths[i].startswith(main)]
+    return main, [paths[i] for i in range(len(paths)) if fixed[i] and chars[i] and paths[i].startswith(main)]
 
 
 def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
-    main, fixed = deduce(*(pdf[c].tolist() for c in ("path", "pages", "vector", "ones", "chars", "articles", "mains")), (pdf["low"] == pdf["high"]).tolist())
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "pages": [int(pdf["pages"].max())], "main": [main], "fixed": [fixed]})
+    main, fixed = deduce(*(pdf[c].tolist() for c in ("path", "pages", "vector", "ones", "chars", "articles", "mains")), ((pdf["low"] == pdf["high"]) & (pdf["distinct"] >= SUPPORT)).tolist())
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "pages": [int(pdf["distinct"].max())], "main": [main], "fixed": [fixed]})
 
 
 def main_text(page: str, main: str | None, fixed: list[str], pages: int) -> str:
-    """A page's main text, given its host's template."""
+    """A page's main text, given its host's template and how many distinct pages it comes from (SUPPORT stands for more)."""
     blocks = [b for b in parse(page)[0] if not b[2]]
     if pages >= SUPPORT and main is not None:
         skip = set(fixed)
@@ -281,8 +286,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars. The templates are one row per host; pages take theirs by an equi-join on the host,
     which Spark broadcasts where the templates are few and splits where a host is large."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit(""))).alias("host"))
-    tokens = rows.select("host", F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")).alias("page"), "html").mapInArrow(_tokens, "host string, path string, pages long, vector long, ones long, chars long, articles long, mains long, low long, high long")
-    tokens = tokens.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("ones").alias("ones"), F.sum("chars").alias("chars"), *(F.sum(c).alias(c) for c in ("articles", "mains")), F.min("low").alias("low"), F.max("high").alias("high"))
+    tokens = rows.select("host", F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")).alias("page"), "html").mapInArrow(_tokens, "host string, path string, pages long, vector long, ones long, chars long, articles long, mains long, low long, high long, texts array<long>")
+    tokens = tokens.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("ones").alias("ones"), F.sum("chars").alias("chars"), *(F.sum(c).alias(c) for c in ("articles", "mains")), F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("distinct"))
     templates = tokens.groupBy("host").applyInPandas(_templates, "host string, pages long, main string, fixed array<string>")
     kind = pages.schema[id_col].dataType.simpleString()
     return rows.join(templates, "host", "left").select("page_id", "url", "html", "main", "fixed", "pages").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -329,6 +329,20 @@ def test_html_template_decides_before_marks(spark):
     assert got == {i: f"{b[1]} {b[2]} {b[0]}" for i, b in enumerate(bodies)}
 
 
+def test_html_text_of_few_pages_is_no_template(spark):
+    rng = random.Random(6)
+    bodies = [[" ".join(words(rng, 30)) for _ in range(3)] for _ in range(8)]
+    once = {2: "<blockquote>said only here</blockquote>", 5: "<table><tr><td>counted only here</table>"}
+    box = "<div class=box>Welcome to this place</div>"
+    page_of = lambda i, b: f"<html><body><div class=post>{box}{''.join(f'<p>{p}</p>' for p in b)}{once.get(i, '')}</div></body></html>"
+    pages = [page_of(i, b) for i, b in enumerate(bodies)]
+    want = {i: " ".join(b) for i, b in enumerate(bodies)} | {2: " ".join(bodies[2]) + " said only here", 5: " ".join(bodies[5]) + " counted only here"}
+    assert main_texts(spark, pages) == want
+    copies = main_texts(spark, pages + [pages[2]] * 3)  # copies are no further pages
+    assert copies == want | {8 + k: want[2] for k in range(3)}
+    assert set(main_texts(spark, [f"<html><body>{''.join(f'<p>{p}</p>' for p in bodies[0])}</body></html>"] * 4).values()) == {" ".join(bodies[0])}
+
+
 # WARC
 
 
