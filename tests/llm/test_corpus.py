@@ -431,6 +431,24 @@ def test_chain_and_alignment_parts():
     assert substring_chain.chains(links) == [(0, 76, 3, 79)]
 
 
+def test_two_passages_far_apart(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for k, gap in enumerate((50, 100, 200, 300, 400)):
+        one, two = words(rng, 60), words(rng, 60)
+        for i in (2 * k, 2 * k + 1):
+            rows.append([i, " ".join([f"x{rng.random()}" for _ in range(20)] + one + [f"x{rng.random()}" for _ in range(gap)] + two)])
+        want[2 * k + 1] = {(20, 80), (80 + gap, 140 + gap)}
+    one, two = words(rng, 60), words(rng, 60)
+    rows += [[20, " ".join(one + two)], [21, " ".join(one + [f"x{rng.random()}" for _ in range(300)] + two)]]  # on one side only
+    want[21] = {(0, 60), (360, 420)}
+    got = defaultdict(set)
+    for r in substring_chain.passages(frame(spark, rows)).collect():
+        got[r.doc_id] |= {(r.start_word, r.end_word)}
+    whole = {(20, 190)}  # a gap of 50 words leaves one passage of identity 0.7
+    assert got.pop(1) in (whole, want.pop(1)) and got == want
+
+
 # classifiers
 
 
