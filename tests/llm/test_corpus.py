@@ -449,6 +449,17 @@ def test_two_passages_far_apart(spark):
     assert got.pop(1) in (whole, want.pop(1)) and got == want
 
 
+def test_edited_passages_with_few_seeds(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(50):
+        passage = words(rng, 60)
+        edited = [f"y{rng.random()}" if at % 10 == k % 10 else w for at, w in enumerate(passage)]
+        rows += [[2 * k + j, " ".join([f"x{rng.random()}" for _ in range(30)] + p + [f"x{rng.random()}" for _ in range(30)])] for j, p in enumerate((passage, edited))]
+    got = {r.doc_id for r in substring_chain.passages(frame(spark, rows)).collect() if r.partner_id == r.doc_id - 1 and r.aligned_words >= 48}
+    assert len(got) >= 45
+
+
 # classifiers
 
 
