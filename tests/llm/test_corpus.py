@@ -460,6 +460,18 @@ def test_edited_passages_with_few_seeds(spark):
     assert len(got) >= 45
 
 
+def test_passage_whose_parts_stand_in_smaller_documents(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(10):
+        lines = [words(rng, 25) for _ in range(2 if k % 2 else 4)]
+        around = lambda p: " ".join([f"x{rng.random()}" for _ in range(30)] + p + [f"x{rng.random()}" for _ in range(30)])
+        rows += [[10 * k + j, around(p)] for j, p in enumerate(lines)]
+        rows += [[10 * k + 8 + j, around(sum(lines, []))] for j in range(2)]
+    got = {(r.doc_id, r.partner_id): (r.start_word, r.end_word) for r in substring_chain.passages(frame(spark, rows)).collect()}
+    assert got == {(10 * k + 9, 10 * k + 8): (30, 30 + 25 * (2 if k % 2 else 4)) for k in range(10)}
+
+
 # classifiers
 
 
