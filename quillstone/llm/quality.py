@@ -30,12 +30,12 @@ from .scratch import table, worker_state
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 TRAINING_ROWS, TRAINING_WORDS = 4_000, 250
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 4, 0.5
-CACHED_WORDS = 200_000
+CACHED_WORDS, LONG = 200_000, 40  # words of more characters recur rarely and are not kept
 
 
 def subwords(word: str) -> list[str]:
     """A word and its character n-grams. Case and punctuation stay: they tell quality."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     n = len(w)
     return [w[i : i + 3] for i in range(n - 2)] + [w[i : i + 4] for i in range(n - 3)] + ["=" + word]
 
@@ -44,6 +44,10 @@ def row_of(gram: str) -> int:
     return xxhash.xxh3_64_intdigest(gram) % BUCKETS
 
 
+def rows_of(word: str) -> list[int]:
+    return list(map(row_of, subwords(word)))
+
+
 def shape(w: str) -> str:
     return ("U" if w.isupper() else "l" if w.islower() else "x") + ("a" if w[-1:].isalnum() else w[-1:])
 
@@ -76,7 +80,7 @@ def train(rows: list[tuple[str, int]], seed: int = 3) -> Model:
             if len(words) > TRAINING_WORDS:
                 at = int(rng.integers(len(words) - TRAINING_WORDS + 1))
                 words = words[at : at + TRAINING_WORDS]
-            ids = [r for w in words for r in (known.get(w) or known.setdefault(w, list(map(row_of, subwords(w)))))] + [pair_row(a, b) for a, b in zip(words, words[1:])]
+            ids = [r for w in words for r in (known.get(w) or (known.setdefault(w, rows_of(w)) if len(w) <= LONG else rows_of(w)))] + [pair_row(a, b) for a, b in zip(words, words[1:])]
             rate = RATE * (1 - done / steps)
             done += 1
             ids_ = np.array(ids, np.int64)
@@ -102,7 +106,7 @@ class _Grams(dict):
 
     def __missing__(self, gram: str) -> float:
         out = float(self.part[row_of(gram)])
-        if len(gram) <= 4:
+        if len(gram) <= 4 and len(self) <= CACHED_WORDS:
             self[gram] = out
         return out
 
@@ -115,8 +119,12 @@ class _Parts(dict):
         self.same = float(part[pair_row("a", "a")])
 
     def __missing__(self, word: str) -> tuple[float, int, int]:
-        grams = subwords(word)
         kind = self.shapes.setdefault(shape(word), len(self.shapes))
+        if len(word) > LONG:  # summed without a list
+            w, part = f"<{word}>", self.grams
+            n = len(w)
+            return sum(part[w[i : i + 3]] for i in range(n - 2)) + sum(part[w[i : i + 4]] for i in range(n - 3)) + part["=" + word], 2 * n - 4, kind
+        grams = subwords(word)
         self[word] = out = (sum(map(self.grams.__getitem__, grams)), len(grams), kind)
         return out
 

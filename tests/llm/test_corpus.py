@@ -504,6 +504,17 @@ def test_classifiers_on_held_out_rows(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in toxicity.score(docs, model).collect() if r.score < 0.3}
 
 
+def test_quality_reads_whole_words():
+    grams = quality.subwords("a" * 60 + "xyz")
+    assert "xyz" in grams and "xyz>" in grams and len(grams) == 63 + 62 + 1
+    rows = [(r[1], r[2]) for r in labelled(3, 200)]
+    judge = quality.scorer(quality.train(rows))
+    word, parts = "naïve/" * 40, quality._Parts(quality.train(rows).part)
+    assert parts[word][1] == len(quality.subwords(word)) and math.isclose(parts[word][0], sum(float(parts.part[quality.row_of(g)]) for g in quality.subwords(word)))
+    head, good, bad = "ka" * 20, "kabarlodenmifol" * 20, "KABAR!!LODEN!!" * 20
+    assert judge(head + good) > judge(head + bad)
+
+
 def test_training_never_sees_held_out_labels(spark):
     rows = labelled(2, 200)
     docs = frame(spark, [(i, t) for i, t, _, _ in rows])
