@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import discard, keep
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); the label is the least node that links reach.
 
     Each round is a few shuffles of the edges, and a hub's neighbours are summed to a minimum before they meet. The edge table is
-    written to the shared folder after each round, so neither lineage nor a lost executor's work builds up. Self links are allowed.
+    written to the shared folder after each round, so neither lineage nor a lost executor's work builds up; so is the result. Self links are allowed.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -29,9 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour, and the node itself, link to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = keep(small, "edges")
+        old, now = now, keep(small, "edges")
+        discard(old)
         before, mark = mark, _mark(now)
         if mark == before:
             break
     # at the end every node has one link, to the label
-    return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    found = keep(nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "found")
+    discard(now)
+    return found

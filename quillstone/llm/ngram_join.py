@@ -3,25 +3,32 @@
 The global order of n-grams is that of their 64-bit hashes. Cutting it into fragments cuts every document's set into segments, one per
 fragment. That serves twice:
 
-* Candidates. Two sets of Jaccard likeness t or more differ in at most D = (|x| + |y|) (1 - t) / (1 + t) n-grams. Cut into more than D
-  fragments, some segment is the same in both. So a set's signatures are the hashes of its segments (a segment holds several
-  n-grams spread over the document, so a passage that many documents share rarely makes one alone). A set of at most D non-empty
-  segments gives signatures of its empty ones too: then its partner has at most D as well, and no link is lost. Sets meet in
-  classes by size, each with its own number of fragments; a set takes part in every class that a partner's size can belong to.
+* Candidates. Two sets of Jaccard likeness t or more differ in at most D = (|x| + |y|) (1 - t) / (1 + t) n-grams. Cut into F > D
+  fragments, at least c = F - D segments are the same in both. A set's signatures are the hashes of its filled segments, ordered by how many
+  sets have them. As a pair shares c segments (less the empty ones), each set may leave out its c - 1 (less its empty segments) commonest
+  signatures and the pair still meets in one: passages that very many documents share make none. Two sets with more than c - 1 empty segments each may
+  share no filled one; such sets (short ones) meet by their rarest single n-grams as well, of which all but the t |x| - 1 commonest are
+  signatures. No signature is free of content. Sets meet in classes by size, each with its own fragments; a set takes part in every class
+  that a partner's size can belong to.
 * Verification. The overlap of a candidate pair is counted fragment by fragment and summed per pair.
 
 Documents with equal sets are one node from the start. Up to ``SMALL`` nodes with a common signature are paired directly. Among more the
-least is the pivot: only pairs with it are counted first. What they link needs no further pair among itself. Then the components so far
-are labelled, and for each signature the nodes outside the pivot's component are paired with all nodes of other components; so a group of n near copies costs about n pairs
+least is the pivot: only pairs with it are counted first. Signatures whose nodes are then in one component need no further pair. For the others the nodes outside
+the pivot's component are paired with all nodes of other components; so a group of n near copies costs about n pairs
 and not n * n, and yet every link between different components is found: component ids are exact. This goes in slices of the signatures,
 each with the labels that the slice before has left.
 
 Before a pair is counted, a parity sketch bounds its difference from below: 1024 bits, each the parity of the n-grams hashed to it. Two
 sketches never differ in more bits than the sets differ in n-grams, so what this bound rejects is no link.
 
+Texts are read twice: for signatures, and for the segments of those sets that share one. Signatures are counted before they are joined, so a
+signature that a third of all documents share is a partial sum in every task, and the joins on signatures, nodes and labels meet written tables,
+which adaptive execution splits where a key is large. Tables and shuffle files are deleted when what follows them is written.
+
 Defined results: words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased;
 a document of fewer than n words has its whole sequence as one n-gram; one without words (or null text) has an empty set, is linked
-with nothing and is its own component; an empty table gives an empty result; repeated rows are linked to each other.
+with nothing and is its own component; an empty table gives an empty result; repeated rows are linked to each other; rows without an id take
+part in links, and a component of such rows only has a null id.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import discard, keep, table, worker_state
+from .scratch import discard, free_shuffles, keep, table, worker_state
 
 FRAGMENT_BITS = 2  # of the verification: 4 fragments
 CACHED_WORDS = 120_000
@@ -46,7 +53,8 @@ CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
 SKETCH = 16  # 64-bit words
 SMALL = 4  # nodes of a signature that are paired without a pivot
-SLICES = ((0, 1), (1, 4), (4, 16), (16, 64))  # of 64: the signatures paired in each round
+SLICES = ((0, 4), (4, 64))  # of 64: the signatures of mixed groups that are paired in each round
+DROP_BITS = 24  # a rule is a class and, in its low bits, how many of the commonest signatures go
 U = np.uint64
 
 
@@ -96,24 +104,28 @@ def size_classes(size: int, t: Fraction) -> list[tuple[int, int, int]]:
         if size < high:
             differ = most_different(2 * (high - 1), t)
             if differ:
-                out.append((k, differ, differ + 2 + differ // 6))
+                out.append((k, differ, differ + 4 + differ // 6))
         low, k = high, k + 1
     return out
 
 
-def signatures(s: np.ndarray, t: Fraction) -> np.ndarray:
-    """Hashes of the segments of a set, in all classes of its size."""
-    out = []
+def signatures(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set in all classes of its size, and the rule of each: its class and how many of the class's commonest go."""
+    out, rules = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+
+    def add(sigs: np.ndarray, code: int, drop: int) -> None:
+        out.append(sigs)
+        rules.append(np.full(len(sigs), code << DROP_BITS | min(drop, (1 << DROP_BITS) - 1), np.int32))
+
     for k, differ, fragments in size_classes(len(s), t):
         of = (s >> U(32)) * U(fragments) >> U(32)
         starts = np.flatnonzero(np.diff(of, prepend=U(1 << 63)))
-        seal = U((k * 1_000_003 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        sums = np.add.reduceat(s * U(0xD6E8FEB86659FD93), starts)
-        out.append(mix64(sums ^ mix64(of[starts] + seal)))
-        if len(starts) <= differ:
-            empty = np.setdiff1d(np.arange(fragments, dtype=np.uint64), of[starts])
-            out.append(mix64(mix64(empty + seal) + U(77)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        seal = np.array([(k * 1_000_003 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64)
+        empty = fragments - len(starts)
+        add(mix64(np.add.reduceat(s * U(0xD6E8FEB86659FD93), starts) ^ mix64(of[starts] + seal)), 2 * k, max(0, fragments - differ - 1 - empty))
+        if empty >= fragments - differ:
+            add(mix64(s ^ mix64(seal + U(77))), 2 * k + 1, -(-len(s) * t.numerator // t.denominator) - 1)
+    return np.concatenate(out), np.concatenate(rules)
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -122,7 +134,7 @@ def sketch(s: np.ndarray) -> list[int]:
 
 
 def _sets(width: int, t: Fraction):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64())), *((f"k{i}", pa.int64()) for i in range(SKETCH))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64())), ("rules", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -131,21 +143,29 @@ def _sets(width: int, t: Fraction):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py() or "", width)
                 if not len(s):
-                    rows.append((doc, 0, None, None, *[None] * SKETCH))
+                    rows.append((doc, 0, None, None, None))
                     continue
-                node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                new = node not in seen  # copies within a task send their signatures once
-                if new and len(seen) < 1_000_000:
-                    seen.add(node)
-                rows.append((doc, len(s), node, signatures(s, t).view(np.int64) if new else None, *(sketch(s) if new else [None] * SKETCH)))
+                node, sigs, rules = node_of(s), None, None
+                if node not in seen:  # copies within a task send their signatures once
+                    sigs, rules = signatures(s, t)
+                    sigs = sigs.view(np.int64)
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                rows.append((doc, len(s), node, sigs, rules))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
+def node_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def _segments(width: int):
-    schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    """Of each set a row with its sketch (fragment -1) and a row for each segment."""
+    schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), *((f"k{i}", pa.int64()) for i in range(SKETCH))])
+    none = [None] * SKETCH
 
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
@@ -155,11 +175,12 @@ def _segments(width: int):
             rows: list[tuple] = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py() or "", width)
-                if xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) != node:  # another row of the same id
+                if not len(s) or node_of(s) != node:  # another row of the same id
                     continue
                 cuts = np.searchsorted(s >> U(64 - FRAGMENT_BITS), np.arange((1 << FRAGMENT_BITS) + 1, dtype=np.uint64))
-                rows += [(node, f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                if len(rows) > 10_000:
+                rows.append((node, -1, len(s), None, *sketch(s)))
+                rows += [(node, f, len(s), s[a:b].view(np.int64), *none) for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                if len(rows) > 5_000:
                     yield batch_of(rows)
                     rows = []
             if rows:
@@ -173,19 +194,12 @@ def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Those of the distinct node pairs (a, b, na, nb) whose likeness is ``t`` or more. Only candidates' texts are read as sets again."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    reps = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__doc"))
-    # a narrow table of ids: up to BROADCAST_IDS of them find their texts where these are read, more by a shuffle join
-    texts = docs.join(few(keep(reps, "reps")), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    segments = keep(texts.select("node", "text").mapInArrow(_segments(width), "node long, fragment int, grams array<long>"), "segments")
-    known = few(pairs)
-    left = segments.join(known.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", "na", "nb", "fragment", F.col("grams").alias("ga"))
-    right = segments.join(known.select("a", F.col("b").alias("node")), "node").select("a", F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = left.join(right, ["a", "b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).cast("long").alias("partial"))
-    # rows that repeat an id give a fragment twice
-    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("partial").alias("partial"))
+def linked(pairs: DataFrame, segments: DataFrame, t: Fraction) -> DataFrame:
+    """Those of the distinct node pairs (a, b, na, nb) whose likeness is ``t`` or more."""
+    filled = segments.filter("fragment >= 0")
+    left = filled.join(pairs.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", "na", "nb", "fragment", F.col("grams").alias("ga"))
+    both = left.join(filled.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
+    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("partial"))
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
     # overlap / (na + nb - overlap) >= t
     return overlap.filter(F.col("overlap") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator).select("a", "b")
@@ -197,78 +211,119 @@ def plausible(na: Column, nb: Column, a: list[Column], b: list[Column], t: Fract
     return (F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator) & (differ * (t.denominator + t.numerator) <= (na + nb) * (t.denominator - t.numerator))
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those whose sketches allow a likeness of ``t``."""
+def near_pairs(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
+    """Of the pairs (a, b) those whose sizes and sketches allow a likeness of ``t``, as (a, b, na, nb)."""
     words = [f"k{i}" for i in range(SKETCH)]
-    pairs = keep(pairs, "raw")
-    wanted = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    nodes = nodes.join(few(wanted), "node", "left_semi")
-    one, two = (nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
+    one, two = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
     near = plausible(F.col("na"), F.col("nb"), *([F.col(f"{x}_{k}") for k in words] for x in "ab"), t)
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "na", "nb")
 
 
 def small_pairs(shared: DataFrame) -> DataFrame:
-    """All pairs of the nodes of each signature that at most ``SMALL`` nodes have, as (a, b, na, nb) with a < b."""
-    groups = shared.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("g"))
+    """All pairs of the nodes of each signature that at most ``SMALL`` nodes have, as (a, b) with a < b."""
+    groups = shared.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.array_sort(F.collect_list("node")).alias("g"))
     after = lambda g, i: F.slice(g, i + 2, F.size(g))
-    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(after(F.col("g"), i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(after(F.col("g"), i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return groups.select(F.inline(pairs))
 
 
+def meetings(made: DataFrame) -> DataFrame:
+    """(sig, node, pivot, m): the nodes that share a signature, after each has left out its commonest ones; the pivot is the least of m nodes."""
+    # copies in different tasks have all sent their signatures: one row of a node stays
+    rows = made.filter("sigs is not null")
+    twice = rows.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    spare = keep(rows.select("node", "row").join(twice, "node").filter("row <> first").select("row"), "spare")
+    sigs = rows.join(few(spare), "row", "left_anti").select("node", F.explode(F.arrays_zip("sigs", "rules")).alias("x")).select(F.col("x.sigs").alias("sig"), "node", F.col("x.rules").alias("rule"))
+    counts = keep(sigs.groupBy("sig").agg(F.count(F.lit(1)).cast("int").alias("m")).filter("m > 1"), "counts")
+    free_shuffles(made.sparkSession)
+    lists = sigs.join(counts.hint("shuffle_hash"), "sig").groupBy("node", "rule").agg(F.sort_array(F.collect_list(F.struct("m", "sig")), asc=False).alias("x"))
+    drop = F.col("rule").bitwiseAND((1 << DROP_BITS) - 1)
+    rest = keep(lists.filter(F.size("x") > drop).select("node", F.explode(F.slice("x", drop + 1, F.size("x"))).alias("x")).select("x.sig", "node"), "rest")
+    free_shuffles(made.sparkSession)
+    groups = keep(rest.groupBy("sig").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "groups")
+    out = keep(rest.join(groups, "sig"), "shared")
+    for df in (spare, counts, rest, groups):
+        discard(df)
+    return out
+
+
 def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = [f"k{i}" for i in range(SKETCH)]
-    made = keep(docs.mapInArrow(_sets(width, t), "doc_id long, n_shingles long, node long, sigs array<long>, " + ", ".join(f"{k} long" for k in words)), "made")
+    made = docs.mapInArrow(_sets(width, t), "doc_id long, n_shingles long, node long, sigs array<long>, rules array<int>")
+    made = keep(made.withColumn("row", F.monotonically_increasing_id()), "made")
     sets = keep(made.select("doc_id", "n_shingles", "node"), "sets")
-    sigs = made.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node", F.col("n_shingles").alias("n"))
-    same = Window.partitionBy("sig")
-    shared = sigs.withColumns({"least": F.min(F.struct("node", "n")).over(same), "most": F.max("node").over(same), "m": F.count(F.lit(1)).over(same)}).filter("least.node <> most").drop("most")
-    shared = keep(shared.dropDuplicates(["sig", "node"]), "shared")
-    nodes = keep(made.filter("sigs is not null").select("node", *words).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    shared = meetings(made)
     discard(made)
 
+    # the segments of all sets that can be in a pair, from one more pass over the texts
+    reps = keep(sets.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__doc")), "reps")
+    texts = docs.join(few(reps), F.col("doc_id").eqNullSafe(F.col("__doc")))
+    kinds = "node long, fragment int, n long, grams array<long>, " + ", ".join(f"{k} long" for k in words)
+    segments = texts.select("node", "text").mapInArrow(_segments(width), kinds)
+    segments = keep(segments.dropDuplicates(["node", "fragment"]), "segments")  # rows that repeat an id gave a set twice
+    sketches = segments.filter("fragment = -1").select("node", "n", *words)
+    discard(reps)
+    free_shuffles(spark)
+
     large = shared.filter(F.col("m") > SMALL)
-    fits = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-    pivots = large.filter("node <> least.node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"))
-    pairs = small_pairs(shared).unionByName(pivots).filter(fits(F.col("na"), F.col("nb"))).distinct()
-    pairs = keep(near_pairs(pairs, nodes, t), "pairs")
+    pivots = large.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = keep(near_pairs(small_pairs(shared).union(pivots).distinct(), sketches, t), "pairs")
     # a node is counted with its least partner first; other pairs only if that leaves them in different components
     nearest = keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb"), "nearest")
-    links = keep(linked(nearest, sets, docs, width, t), "links")
-    found = keep(components(links), "found")
+    links = keep(linked(nearest, segments, t), "links")
+    found = components(links)
     apart = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
     for x in "ab":
         apart = apart.join(few(found).select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
     apart = keep(apart.filter("label_a <> label_b").select("a", "b", "na", "nb"), "apart")
-    if not apart.isEmpty():
-        links = keep(links.union(linked(apart, sets, docs, width, t)), "links")
-        found = keep(components(links), "found")
+    links, found = merged(links, found, apart, segments, t)
+    discard(nearest)
 
     # what the pivots leave of the large groups: nodes of one signature in different components
     for low, high in SLICES:
-        slice_ = large.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).select("sig", "node", "n", F.col("least.node").alias("pivot"))
-        labels = few(found)
-        placed = slice_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = placed.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
-        placed = placed.join(few(nodes, BROADCAST_IDS // 5), "node")
-        minor = placed.filter("label <> major")
-        other = placed.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
+        slice_ = large.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).drop("m")
+        placed = slice_.join(few(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        placed = keep(placed, "placed")
+        mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+        placed_ = placed.join(mixed, "sig", "left_semi")
+        placed_ = placed_.join(few(found).select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
+        placed_ = keep(placed_.join(sketches.select("node", "n"), "node"), "mixed")
+        minor = placed_.filter("label <> major")
+        other = placed_.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major")))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
-        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in words] for x in ("", "_")), t))
-        first = F.col("node") < F.col("node_")
-        rest = met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "node_", "a"), ("node_", "node", "b"), ("n", "n_", "na"), ("n_", "n", "nb")))).distinct()
-        rest = keep(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        if rest.isEmpty():
-            continue
-        links = keep(links.union(linked(rest, sets, docs, width, t)), "links")
-        found = keep(components(links), "found")
-
-    placed = sets.join(few(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = placed.filter("node is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    alone = placed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.filter("node is not null").join(names, "label").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+        fits = F.least("n", "n_") * t.denominator >= F.greatest("n", "n_") * t.numerator
+        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & fits)
+        rest = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        rest = keep(near_pairs(rest, sketches, t), "rest")
+        links, found = merged(links, found, rest, segments, t)
+        discard(placed)
+        discard(placed_)
+
+    # names of the components are found per node, so that copies meet theirs in one join with a written table
+    first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    first = keep(first.join(few(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "first")
+    named = first.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = keep(first.join(named, "label").select("node", "component_id"), "named")
+    for df in (shared, segments, pairs, links, found, first):
+        discard(df)
+    free_shuffles(spark)
+    alone = sets.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return sets.join(named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def merged(links: DataFrame, found: DataFrame, pairs: DataFrame, segments: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the given pairs have been counted as well; ``pairs`` and what is replaced are deleted."""
+    out = links, found
+    if not pairs.isEmpty():
+        more = keep(links.union(linked(pairs, segments, t)), "links")
+        out = more, components(more)
+        discard(links)
+        discard(found)
+    discard(pairs)
+    return out
 
 
 def one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the plans that wrote them; this asks for it now, after a large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(kept: DataFrame) -> None:
     """Deletes the files of a kept table that no plan needs any more."""
     at = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._kept_at).getParent()
