@@ -13,11 +13,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> list[tuple[str, int]]:
     """(text, label) of labelled rows outside the held-out fold, at most ``most`` of them: the first by a hash of the id, so every
-    run takes the same ones. The sort keeps ``most`` rows a task and comes before texts are joined."""
+    run takes the same ones. The sort keeps ``most`` rows a task and comes before texts are joined. Of rows that repeat an id the lesser label
+    and the least text count, so reruns agree."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null")
-    known = known.filter(F.coalesce(fold(F.col("doc_id"), folds), F.lit(held)) != held).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    return [(r.text, r.y) for r in sorted(rows.select("doc_id", "text", "y").collect(), key=lambda r: r.doc_id)]
+    known = known.filter(F.coalesce(fold(F.col("doc_id"), folds), F.lit(held)) != held).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return [(r.text, r.y) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:

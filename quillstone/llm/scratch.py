@@ -79,15 +79,19 @@ def worker_state(owner: str) -> dict:
     state = sys.modules.setdefault("quillstone_worker_state", types.ModuleType("quillstone_worker_state")).__dict__
     if state.get("owner") != owner:
         state["owner"], state["held"] = owner, {}
-        import ctypes
-        import gc
+        return_memory()
+    return state["held"]
 
-        import pyarrow as pa
 
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
-    return state["held"]
+def return_memory() -> None:
+    """Gives freed memory of this Python process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

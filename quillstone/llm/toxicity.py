@@ -1,155 +1,131 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
+"""Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary documents. Toxic documents are mostly ordinary text, so the toxic
-dictionary is trained on what sets them apart: words that occur in many different surroundings in toxic documents and hardly in
-ordinary ones (surroundings, not occurrences, so that copies of one document count once). It ends with the ordinary dictionary, so
-that both compress ordinary text alike.
+Texts are read through sliding windows of ``WORDS`` words, one every ``STEP`` words. A window is compressed twice, with the ordinary dictionary alone and
+with the toxic one before it, and the bytes that it gains say what toxic text alone predicts. (Both hold the ordinary dictionary,
+so the ordinary part of a window costs the same in both; and a fixed closing follows every window, as zstandard looks for no match in a block's last bytes.)
 
-A window is one word with its spaces between a fixed opening and a fixed closing that both dictionaries hold; so a frame's fixed costs
-cancel (and the last bytes of a block, where zstandard looks for no matches, are the closing's), and the difference of the two
-compressed lengths says what toxic text alone predicts. Windows are counted by how much they gain and how much is
-left over; thresholds on these counts come from logistic regression on training documents that the dictionary hasn't seen.
+Most windows of a toxic document are ordinary. So the toxic dictionary is trained in rounds: on all windows of the toxic training documents first, then
+on those that gain more than ordinary windows do. Toxic training documents are halved, and the windows of a half are only ever judged by the dictionary of the
+other one, as a dictionary explains the very texts that it was trained on. Windows that occur more than once (copies) count once.
 
-The model is fitted on the driver from at most ``TRAINING_ROWS`` labelled rows, and is some 20 kB. Scoring covers whole texts.
+A document is scored by how many of its windows gain at least 1, 2, ... ``MOST`` bytes, and by their share of all; thresholds and weights are
+calibrated by logistic regression on the training documents, each judged by a dictionary that hasn't seen it.
 
-Defined results: null and empty texts have no windows and the score of such a document; without both labels in training the score is
-the share of toxic rows (0 without any).
+The model is fitted on the driver from at most ``TRAINING_ROWS`` labelled rows, and is some 110 kB. Scoring covers whole texts.
+
+Defined results: null and empty texts have no windows and the score of such a document; texts of fewer than ``WORDS`` words are one window; without both
+labels twice in training the score is the share of toxic rows (0 without any); repeated rows are scored alike and count once in training, of rows that repeat an id
+the one with the least text and the lesser label is learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import fold, logistic, training_rows
-from .scratch import table, worker_state
+from .scratch import return_memory, table, worker_state
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-TRAINING_ROWS = 8_000
-OPENING = b" \x01opening\x02 the fixed opening of a window "
-CLOSING = b" \x03 and the fixed closing of a window \x04"
-EDGES = b".,!?;:'\"()"
-ORDINARY_BYTES, TOXIC_WORDS, SAMPLE_BYTES = 12_000, 1500, 2 << 20
-GAINS, LEFTS = 4, 6
-CACHED_WORDS = 200_000
+TRAINING_ROWS = 5_000
+WORDS, STEP = 5, 2
+ORDINARY_BYTES, TOXIC_BYTES = 100_000, 8_000
+SEGMENT, PART = 16, 6  # of dictionary training: bytes of what is taken over, and of what is counted
+ROUNDS, TIMES = 2, 10  # a toxic window is trained on again if it gains what ordinary ones gain TIMES more seldom
+MOST = 12
+CLOSING = b"\x02closing\x03"
 
 
-def words_of(text: str) -> list[bytes]:
-    return [w.strip(EDGES) for w in text.encode("utf-8", "surrogatepass").lower().split()]
+def windows(text: str, words: int = WORDS, step: int = STEP) -> Iterator[bytes]:
+    """The windows of a text: ``words`` lower-cased words each, one every ``step`` words, the last one up to the end."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    for i in range(0, max(1, len(w) - words + step) if w else 0, step):
+        yield b" %b " % b" ".join(w[i : i + words])
 
 
-class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, prior: float, key: int):
-        self.ordinary, self.toxic, self.weights, self.mean, self.spread, self.prior, self.key = ordinary, toxic, weights, mean, spread, prior, key
-
-
-class Windows(dict):
-    """Word to its class: 0 if the toxic dictionary doesn't gain, else by gain and by what is left over."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard as z
-
-        params = z.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=5, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
-
-        def compressor(data: bytes):
-            d = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            return z.ZstdCompressor(dict_data=d, compression_params=params).compress
-
-        self.plain, self.marked = compressor(ordinary + CLOSING + OPENING), compressor(toxic + ordinary + CLOSING + OPENING)
-        self.base = len(self.marked(OPENING + CLOSING))
-
-    def __missing__(self, word: bytes) -> int:
-        window = OPENING + b" " + word + b" " + CLOSING
-        short = len(self.marked(window))
-        gain = len(self.plain(window)) - short
-        self[word] = out = 0 if gain < 2 else 1 + min(gain - 2, GAINS - 1) + GAINS * max(0, min(short - self.base - 1, LEFTS - 1))
-        return out
-
-    def features(self, text: str) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        words = words_of(text)
-        hits = np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=1 + GAINS * LEFTS)[1:]
-        return np.r_[np.log1p(hits), math.log1p(len(words)), hits.sum() / (len(words) + 1)]
-
-
-def marking_words(texts: list[tuple[str, int]]) -> list[bytes]:
-    """Words with more surroundings in toxic texts than their occurrences in ordinary ones explain, the strongest last."""
-    around: dict[bytes, tuple[set[int], set[int]]] = {}  # surroundings, texts
-    toxic = [t for t, y in texts if y]
-    n = 1
-    for i, text in enumerate(toxic):
-        words = words_of(text)
-        n += len(words)
-        for left, w, right in zip([b""] + words, words, words[1:] + [b""]):
-            if len(w) >= 3:
-                pair = around.setdefault(w, (set(), set()))
-                pair[0].add(hash((left, right)))
-                pair[1].add(i)
-    # near copies share surroundings, and a text that repeats its own word is one text
-    seen = {w: min(map(len, s)) for w, s in around.items()}
-    seen = {w: k for w, k in seen.items() if k >= max(3, 0.005 * len(toxic))}
-    del around
-    plain, m = dict.fromkeys(seen, 0), 1
-    for text, y in texts:
-        if not y:
-            words = words_of(text)
-            m += len(words)
-            for w in words:
-                if w in plain:
-                    plain[w] += 1
-    found = []
-    for w, k in seen.items():
-        a, b = k / n, (plain[w] + 0.5) / m
-        if b < 0.05 * a:
-            found.append((k * math.log(a / b), w))
-    return [w for _, w in sorted(found)[-TOXIC_WORDS:]]
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary of at most ``size`` bytes that zstandard trains on ``samples``."""
+    import zstandard as z
 
+    try:
+        return z.train_dictionary(size + 4000, samples, k=SEGMENT, d=PART).as_bytes()[-size:]
+    except z.ZstdError:  # too little text to train on: all of it
+        return b"".join(samples)[-size:]
 
-def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
+
+def compressed(dictionary: bytes) -> Callable[[bytes], int]:
+    """A function from a window to its compressed length."""
     import zstandard as z
 
+    params = z.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=64, strategy=z.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+    d = z.ZstdCompressionDict(dictionary + CLOSING, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    compress = z.ZstdCompressor(dict_data=d, compression_params=params).compress
+    return lambda window: len(compress(window + CLOSING))
+
+
+def features(text: str, plain: Callable[[bytes], int], marked: Callable[[bytes], int]) -> np.ndarray:
+    """Of the text's windows how many gain 1 to ``MOST`` bytes or more, and their shares."""
+    gains = np.fromiter((plain(w) - marked(w) for w in windows(text)), np.int64)
+    up = np.bincount(np.clip(gains, 0, MOST), minlength=MOST + 1)[::-1].cumsum()[::-1][1:]
+    return np.r_[np.log1p(up), math.log1p(len(gains)), up / (len(gains) + 1)]
+
+
+class Model:
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, prior: float):
+        self.ordinary, self.toxic, self.weights, self.mean, self.spread, self.prior = ordinary, toxic, weights, mean, spread, prior
+        self.key = xxhash.xxh3_64_intdigest(ordinary + b"\0" + toxic)
+
+
+def gaining(samples: list[bytes], ordinary: list[bytes], plain: Callable[[bytes], int], marked: Callable[[bytes], int]) -> list[bytes]:
+    """Those of ``samples`` whose gain is one that ordinary windows have ``TIMES`` more seldom."""
+    gains, usual = (np.array([plain(w) - marked(w) for w in x]) for x in (samples, ordinary))
+    least = next((k for k in range(1, MOST) if (gains >= k).mean() >= TIMES * (usual >= k).mean()), MOST)
+    return [w for w, g in zip(samples, gains) if g >= least]
+
+
+def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    rows = sorted(set(rows))  # copies would stand on both sides
-    random.Random(seed).shuffle(rows)
-    learn, fit = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    if len({y for _, y in learn}) < 2 or len({y for _, y in fit}) < 2:
-        return Model(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), prior, 0)
-    plain, size = [], 0
-    for text, y in learn:
-        if not y and size < SAMPLE_BYTES:
-            words = text.encode("utf-8", "surrogatepass").lower().split()
-            plain += [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
-            size += len(text)
-    try:
-        ordinary = z.train_dictionary(ORDINARY_BYTES + 4000, plain, level=3).as_bytes()[-ORDINARY_BYTES:]
-    except z.ZstdError:  # too little text to train on
-        ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    toxic = b" " + b" ".join(marking_words(learn)) + b" "
-    windows = Windows(ordinary, toxic)
-    x = np.array([windows.features(t) for t, _ in fit])
+    rows = sorted(set(rows))
+    rng = random.Random(seed)
+    rng.shuffle(rows)
+    toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return Model(b"", b"", np.zeros(0), np.zeros(0), np.ones(0), prior)
+    base = trained(sorted({w for t in ordinary for w in windows(t, WORDS + 1, WORDS + 1)}), ORDINARY_BYTES)
+    plain = compressed(base)
+    halves = [toxic[::2], toxic[1::2]]
+    chosen = [sorted({w for t in half for w in windows(t, WORDS + 1, WORDS + 1)}) for half in halves]
+    usual = sorted({w for t in ordinary[:300] for w in windows(t)})
+    for _ in range(ROUNDS):
+        marked = [compressed(trained(c, TOXIC_BYTES) + base) for c in chosen]
+        found = [gaining(sorted({w for t in half for w in windows(t)}), usual, plain, other) for half, other in zip(halves, marked[::-1])]
+        chosen = [f or c for f, c in zip(found, chosen)]
+    marked = [compressed(trained(c, TOXIC_BYTES) + base) for c in chosen]
+    x = [features(t, plain, other) for half, other in zip(halves, marked[::-1]) for t in half] + [features(t, plain, marked[i % 2]) for i, t in enumerate(ordinary)]
+    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+    x = np.array(x)
     mean, spread = x.mean(0), x.std(0) + 1e-6
-    weights = logistic((x - mean) / spread, np.array([y for _, y in fit], float))
-    return Model(ordinary, toxic, weights, mean, spread, prior, hash((ordinary, toxic)))
+    return Model(base, trained(sorted({w for c in chosen for w in c}), TOXIC_BYTES), logistic((x - mean) / spread, y), mean, spread, prior)
 
 
 def scorer(model: Model):
-    """A function from a text to its score; the windows' cache lives as long as the worker."""
+    """A function from a text to its score; the compressors live as long as the worker."""
     if not len(model.weights):
         return lambda text: float(model.prior)
     state = worker_state("toxicity")
     if state.get("toxic key") != model.key:
-        state["toxic key"], state["toxic windows"] = model.key, Windows(model.ordinary, model.toxic)
-    windows = state["toxic windows"]
+        state["toxic key"], state["toxic lengths"] = model.key, (compressed(model.ordinary), compressed(model.toxic + model.ordinary))
+    plain, marked = state["toxic lengths"]
     scale, offset = model.weights[:-1] / model.spread, model.weights[-1] - float(model.mean @ (model.weights[:-1] / model.spread))
-    return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(windows.features(text) @ scale) + offset))))
+    return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(text, plain, marked) @ scale) + offset))))
 
 
 def _score(model: Model, text_at: int):
@@ -163,7 +139,11 @@ def _score(model: Model, text_at: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    return train(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, most))
+    rows = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, most)
+    model = train(rows)
+    del rows
+    return_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -522,6 +522,23 @@ def test_classifiers_on_held_out_rows(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in toxicity.score(docs, model).collect() if r.score < 0.3}
 
 
+def test_toxic_windows_cover_whole_texts():
+    for n in [*range(0, 24), 300]:
+        w = [f"w{i}" for i in range(n)]
+        got = [x.decode().split() for x in toxicity.windows(" ".join(w))]
+        assert {x for g in got for x in g} == set(w) and all(g == w[int(g[0][1:]) : int(g[0][1:]) + len(g)] and len(g) <= toxicity.WORDS for g in got)
+        assert all(b[0] == w[w.index(a[0]) + toxicity.STEP] for a, b in zip(got, got[1:])) and (n < 2 or len(got) <= n)
+    model = toxicity.train([(r[1], r[3]) for r in labelled(5, 200)])
+    plain, marked = toxicity.compressed(model.ordinary), toxicity.compressed(model.toxic + model.ordinary)
+    assert b"vileword" in model.toxic and b"vileword" not in model.ordinary
+    # what either dictionary holds costs little, what only the toxic one holds gains, and other bytes cost what they are
+    old, new, rough = model.ordinary[500:560], b" vileword ", random.Random(2).randbytes(60)
+    assert plain(old) < 25 and marked(old) < 25 and plain(new) - marked(new) >= 4 and min(plain(rough), marked(rough)) > 60
+    judge = toxicity.scorer(model)
+    calm = " ".join(words(random.Random(1), 4000))
+    assert judge(calm) < 0.3 < judge(" ".join([calm, *["vileword nastyterm grimslur " + " ".join(words(random.Random(k), 5)) for k in range(12)]]))
+
+
 def test_quality_reads_whole_words():
     grams = quality.subwords("a" * 60 + "xyz")
     assert "xyz" in grams and "xyz>" in grams and len(grams) == 63 + 62 + 1
