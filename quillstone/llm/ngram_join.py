@@ -290,14 +290,16 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
         mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
         placed_ = placed.join(mixed, "sig", "left_semi")
         placed_ = placed_.join(few(found).select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
-        placed_ = keep(placed_.join(sketches.select("node", "n"), "node"), "mixed")
+        placed_ = keep(placed_.join(sketches, "node"), "mixed")
         minor = placed_.filter("label <> major")
-        other = placed_.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major")))
+        other = placed_.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
-        fits = F.least("n", "n_") * t.denominator >= F.greatest("n", "n_") * t.numerator
-        met = minor.join(other, "sig").filter((F.col("label") != F.col("label_")) & once & fits)
-        rest = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        rest = keep(near_pairs(rest, sketches, t), "rest")
+        # sizes and sketches are a condition of the join: what they refute is never a row
+        near = plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in words] for x in ("", "_")), t)
+        met = minor.join(other, (minor["sig"] == other["sig"]) & (F.col("label") != F.col("label_")) & once & near)
+        first = F.col("node") < F.col("node_")
+        ends = (F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "node_", "a"), ("node_", "node", "b"), ("n", "n_", "na"), ("n_", "n", "nb")))
+        rest = keep(met.select(*ends).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
         links, found = merged(links, found, rest, segments, t)
         discard(placed)
         discard(placed_)
@@ -311,7 +313,9 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
         discard(df)
     free_shuffles(spark)
     alone = sets.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return sets.join(named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    out = sets.join(named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    out._reads = [sets, named]  # for callers that write the result
+    return out
 
 
 def merged(links: DataFrame, found: DataFrame, pairs: DataFrame, segments: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
@@ -334,6 +338,8 @@ def one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5), i
     """
     found = join_components(docs, width, t, id_col, text_col)
     gone = keep(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    for df in found._reads:
+        discard(df)
     return docs.join(few(gone), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
