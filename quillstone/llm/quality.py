@@ -2,14 +2,14 @@
 
 A document's features are its words, their character n-grams (three and four letters, with word edges) and pairs of neighbouring words
 (so repetition is seen), each hashed to a row of a learned embedding table. Their mean goes through a linear layer and a softmax.
-Both layers are trained by stochastic gradient descent in numpy, on the driver, from at most ``TRAINING_ROWS`` labelled rows of at most
-``TRAINING_WORDS`` words each; a longer document takes part with a window that starts at random in every epoch.
+Both layers are trained by stochastic gradient descent in numpy, on the driver, from the whole texts of at most ``TRAINING_ROWS`` labelled rows.
 
 With a softmax over two classes a feature adds one number to the logit, so scoring keeps one float per row of the table (256 kB),
 and a word's part is looked up once per worker. Scoring covers whole texts.
 
 Defined results: null and empty texts have no features, and the score of the learned offset; without both labels in training the score
-is the share of good rows (0 without any).
+is the share of good rows (0 without any); repeated rows are scored alike and count once in training, of rows that repeat an id the one with the least text and
+the lesser label is learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import fold, training_rows
-from .scratch import table, worker_state
+from .scratch import return_memory, table, worker_state
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-TRAINING_ROWS, TRAINING_WORDS = 4_000, 250
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 4, 0.5
+TRAINING_ROWS = 3_000
+BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 3, 0.5
 CACHED_WORDS, LONG = 200_000, 40  # words of more characters recur rarely and are not kept
 
 
@@ -77,9 +77,6 @@ def train(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     for _ in range(EPOCHS):
         for k in rng.permutation(len(texts)):
             words, y = texts[k]
-            if len(words) > TRAINING_WORDS:
-                at = int(rng.integers(len(words) - TRAINING_WORDS + 1))
-                words = words[at : at + TRAINING_WORDS]
             ids = [r for w in words for r in (known.get(w) or (known.setdefault(w, rows_of(w)) if len(w) <= LONG else rows_of(w)))] + [pair_row(a, b) for a, b in zip(words, words[1:])]
             rate = RATE * (1 - done / steps)
             done += 1
@@ -176,7 +173,11 @@ def _score(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    return train(training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most))
+    rows = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, most)
+    model = train(rows)
+    del rows
+    return_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
