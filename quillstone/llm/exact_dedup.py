@@ -3,8 +3,9 @@
 Pass one hashes every normalised text to ``HASHES`` cells of a bit table and keeps the cells that were hit at least twice.
 Pass two probes: a row with a cell that was hit once is certainly unique and goes straight to the result. Only the rest shuffle.
 
-The filter has at most ``2 ** max_bits`` bits (16 MB at the default), which is what is broadcast. Past about ``2 ** max_bits / 16``
-rows it lets more unique rows through to the shuffle; results don't depend on its size.
+The filter is cut into blocks of 2 ** 15 bits; a digest names its block and its cells there, so a row looks into one block only. Its size grows with
+the rows, 16 bits for each. Up to ``2 ** max_bits`` bits (16 MB at the default) the blocks are broadcast. A larger filter meets the digests in a join by
+block number, a shuffle of digests and not of texts (in ``drop_copies``, whose rows hold texts, of the distinct digests that repeat); results don't depend on its size.
 
 Defined results: a null text counts as the empty text; a null id is smaller than any id; of rows with equal texts and equal ids
 exactly one stays; an empty table gives an empty result.
@@ -24,34 +25,37 @@ MAX_BITS = 27
 BLOCK = 15  # bitmap_construct_agg makes bitmaps of 2 ** 15 bits
 
 
-def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    """log2 of the filter's bits: 16 bits a row, within [2 ** 15, 2 ** max_bits]."""
-    return min(max_bits, max(BLOCK, (16 * max(rows, 1) - 1).bit_length()))
+def filter_bits(rows: int) -> int:
+    """log2 of the filter's bits: 16 bits a row, 2 ** 15 at least."""
+    return max(BLOCK, (16 * max(rows, 1) - 1).bit_length())
 
 
-def _cell(digest: Column, which: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(which)), F.lit(1 << bits))
+def _block(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(0)), F.lit(1 << bits - BLOCK))
+
+
+def _cell(digest: Column, which: int) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(1 + which)), F.lit(1 << BLOCK))
 
 
 def repeated_cells(hashed: DataFrame, bits: int, digest: str = "text_sha256") -> DataFrame:
     """Pass one: (block, bitmap) with a bit for each cell that at least two rows hit."""
-    cells = hashed.select(F.explode(F.array(*(_cell(F.col(digest), i, bits) for i in range(HASHES)))).alias("cell"))
-    hit = cells.groupBy("cell").count().filter("count >= 2")
-    return hit.groupBy(F.shiftright("cell", BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND((1 << BLOCK) - 1)).alias("bitmap"))
+    cells = hashed.select(_block(F.col(digest), bits).alias("block"), F.explode(F.array(*(_cell(F.col(digest), i) for i in range(HASHES)))).alias("cell"))
+    hit = cells.groupBy("block", "cell").count().filter("count >= 2")
+    return hit.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bitmap"))
+
+
+def probe(hashed: DataFrame, blocks: DataFrame, bits: int, digest: str = "text_sha256", flag: str = "maybe_copy", max_bits: int = MAX_BITS) -> DataFrame:
+    """Pass two: adds ``flag``, false only for rows whose digest no other row has. ``blocks`` is broadcast if it is at most 2 ** max_bits bits."""
+    side = blocks.select(F.col("block").alias("__block"), F.col("bitmap").alias("__bitmap"))
+    out = hashed.join(F.broadcast(side) if bits <= max_bits else side, _block(F.col(digest), bits) == F.col("__block"), "left")
 
+    def hit(i: int) -> Column:
+        cell = _cell(F.col(digest), i)
+        byte = F.conv(F.hex(F.substring(F.col("__bitmap"), (F.shiftright(cell, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, cell.bitwiseAND(7).cast("int")) == 1, F.lit(False))
 
-def probe(hashed: DataFrame, blocks: DataFrame, bits: int, digest: str = "text_sha256", flag: str = "maybe_copy") -> DataFrame:
-    """Pass two: adds ``flag``, false only for rows whose digest no other row has. ``blocks`` is broadcast; it is at most 2 ** bits bits."""
-    out, flags = hashed, []
-    for i in range(HASHES):
-        cell = _cell(F.col(digest), i, bits)
-        side = blocks.select(F.col("block").alias(f"__block{i}"), F.col("bitmap").alias(f"__bitmap{i}"))
-        out = out.join(F.broadcast(side), F.shiftright(cell, BLOCK) == F.col(f"__block{i}"), "left")
-        bit = cell.bitwiseAND((1 << BLOCK) - 1)
-        byte = F.conv(F.hex(F.substring(F.col(f"__bitmap{i}"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        flags.append(F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False)))
-    out = out.withColumn(flag, reduce(lambda a, b: a & b, flags))
-    return out.drop(*(f"__{kind}{i}" for i in range(HASHES) for kind in ("block", "bitmap")))
+    return out.withColumn(flag, F.col("__block").isNotNull() & reduce(lambda a, b: a & b, map(hit, range(HASHES)))).drop("__block", "__bitmap")
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -61,14 +65,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that hands the keeper back to a large group is one that adaptive execution splits.
     """
     hashed = keep(docs.select(F.col(id_col), F.sha2(ascii_lower(F.col(text_col)), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("__row")), "hashed")
-    bits = filter_bits(hashed.count(), max_bits)
-    probed = probe(hashed, repeated_cells(hashed, bits), bits)
+    bits = filter_bits(hashed.count())
+    probed = probe(hashed, repeated_cells(hashed, bits), bits, max_bits=max_bits)
     alone = probed.filter(~F.col("maybe_copy")).select(
         id_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = probed.filter("maybe_copy")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct(id_col, "__row")).alias("__last"), F.count(F.lit(1)).alias("group_size"))
-    met = maybe.join(groups, "text_sha256").select(
+    met = maybe.join(keep(groups, "groups"), "text_sha256").select(
         id_col, F.col(f"__last.{id_col}").alias("keep_id"), "group_size", (F.col("__row") == F.col("__last.__row")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(met)
@@ -80,10 +84,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = "__text_sha256"
     hashed = docs.withColumn(digest, F.sha2(ascii_lower(F.col(text_col)), 256))
     digests = keep(hashed.select(digest), "digests")
-    bits = filter_bits(digests.count(), max_bits)
-    probed = probe(hashed, repeated_cells(digests, bits, digest), bits, digest, "__maybe")
+    bits = filter_bits(digests.count())
+    blocks = repeated_cells(digests, bits, digest)
+    if bits <= max_bits:
+        probed = probe(hashed, blocks, bits, digest, "__maybe")
+    else:  # texts don't travel to the filter; digests do, and those that it can't rule out come back
+        doubtful = probe(digests, blocks, bits, digest, "__maybe", max_bits).filter("__maybe").select(digest, F.lit(True).alias("__maybe")).distinct()
+        probed = hashed.join(doubtful, digest, "left").withColumn("__maybe", F.coalesce("__maybe", F.lit(False)))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    stays = probed.filter("__maybe").groupBy(digest).agg(F.max_by(row, F.struct(F.col(id_col), F.col(text_col))).alias("__stays"))
+    # of rows equal in id and text the one with the greatest other columns stays (of those that can be ordered)
+    ties = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")]
+    stays = probed.filter("__maybe").groupBy(digest).agg(F.max_by(row, F.struct(F.col(id_col), F.col(text_col), *ties)).alias("__stays"))
     return probed.filter("not __maybe").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(stays.select("__stays.*"))
 
 
