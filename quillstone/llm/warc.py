@@ -30,6 +30,7 @@ from .scratch import keep, shared_path, table
 
 REVISIT_FROM = 1000  # bytes of payload
 FILE_BYTES = 64 << 20
+BROADCAST_DIGESTS = 200_000  # rows of some 60 bytes; more repeated payloads than that are joined by shuffle
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -175,12 +176,13 @@ def _writer(folder: str, date: str, gz: bool):
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", gz: bool = True) -> DataFrame:
-    """Writes the archives; returns their manifest (file, bytes, records). Only digests shuffle to find equal payloads; a page's html
-    meets the few digests that repeat in an equi-join, which Spark broadcasts where they are few."""
+    """Writes the archives; returns their manifest (file, bytes, records). Only digests shuffle to find equal payloads; those that
+    repeat are counted, and are broadcast to the pages if they are few, so no html travels."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
     repeated = rows.filter(F.octet_length("html") >= REVISIT_FROM).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(repeated, "digest", "left")
+    repeated = keep(repeated, "repeated")
+    rows = rows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated, "digest", "left")
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return keep(rows.select("page_id", "url", refers.alias("refers"), "html").mapInArrow(_writer(folder, date, gz), "file string, bytes long, records long"), "manifest")
 
@@ -221,9 +223,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
     found = found.select("record_type", number("record_id").alias("page_id"), number("refers_to").alias("refers_to"), F.octet_length("payload").cast("long").alias("own_bytes"), F.sha1("payload").alias("own_digest"))
     found = keep(found, "records")
-    responses = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("own_bytes", "own_digest")).alias("full"))
-    full = F.coalesce(F.when(F.col("record_type") == "revisit", F.col("full")), F.struct("own_bytes", "own_digest"))
-    return found.join(responses, "refers_to", "left").select("page_id", full["own_bytes"].alias("payload_bytes"), full["own_digest"].alias("payload_digest"), "record_type", "refers_to")
+    own = [F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to"]
+    revisits, rest = found.filter("record_type = 'revisit'"), found.filter("record_type <> 'revisit'")
+    # only revisits look for the response that they refer to
+    full = keep(rest.join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("own_bytes", "own_digest")).alias("full")), "full")
+    met = revisits.join(full, "refers_to", "left").select("page_id", F.col("full.own_bytes").alias("payload_bytes"), F.col("full.own_digest").alias("payload_digest"), "record_type", "refers_to")
+    return rest.select("page_id", *own).unionByName(met)
 
 
 SQL = """
