@@ -490,6 +490,45 @@ def test_passage_whose_parts_stand_in_smaller_documents(spark):
     assert got == {(10 * k + 9, 10 * k + 8): (30, 30 + 25 * (2 if k % 2 else 4)) for k in range(10)}
 
 
+def test_passage_of_two_documents_under_many_fragments(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    passage = words(rng, 60)
+    rows = [[k, " ".join(fresh(20) + passage[k : k + 15] + fresh(20))] for k in range(46)]
+    rows += [[100, " ".join(fresh(30) + passage + fresh(30))], [101, " ".join(fresh(9) + passage + fresh(9))]]
+    got = {(r.doc_id, r.partner_id): (r.start_word, r.end_word, r.aligned_words) for r in substring_chain.passages(frame(spark, rows, True)).collect()}
+    assert got == {(101, 100): (9, 69, 60)}
+
+
+def test_passages_against_brute_force(spark):
+    """Every run of 50 words or more that two documents share is inside a found passage of the larger one, and no passage is without its aligned words."""
+    rng = random.Random(22)
+    rows = corpus(23, 50)
+    stock = [words(rng, n) for n in (50, 55, 70, 120)]
+    for i in range(40):
+        rows.append([200 + i, " ".join(sum(([*words(rng, rng.randrange(5, 60)), *rng.choice(stock)] for _ in range(rng.randrange(3))), []) + words(rng, 30))])
+    split = {i: t.lower().split() for i, t in rows}
+    found = defaultdict(list)
+    for r in substring_chain.passages(frame(spark, rows)).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+        a, b = split[r.doc_id][r.start_word : r.end_word], split[r.partner_id][r.partner_start : r.partner_end]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda last, j: max(row[j] + (x == b[j]), row[j + 1], last), initial=0))
+        assert row[-1] == r.aligned_words >= substring_chain.MIN_WORDS and math.isclose(r.identity, 2 * row[-1] / (len(a) + len(b)))
+    hits, total = 0, 0
+    first = {}
+    for i in sorted(split):
+        grams = [tuple(split[i][k : k + 50]) for k in range(len(split[i]) - 49)]
+        for k, g in enumerate(grams):
+            if first.get(g, i) < i:
+                total += 1
+                hits += any(s <= k and k + 50 <= e for s, e in found[i])
+        for g in grams:
+            first.setdefault(g, i)
+    assert total > 500 and hits >= 0.98 * total
+
+
 # classifiers
 
 
