@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import exact_dedup, ngram_join, packing, source_mix, toxicity
-from quillstone.llm.scratch import keep, table
+from quillstone.llm.scratch import discard, free_shuffles, keep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        if k:  # nothing reads the stage before any more
+            discard(before)
+        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
