@@ -1,6 +1,6 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
-Texts are read through sliding windows of ``WORDS`` words, one every ``STEP`` words. A window is compressed twice, with the ordinary dictionary alone and
+Texts are read through sliding windows of ``WORDS`` words, one every ``STEP`` words, so neighbours overlap. A window is compressed twice, with the ordinary dictionary alone and
 with the toxic one before it, and the bytes that it gains say what toxic text alone predicts. (Both hold the ordinary dictionary,
 so the ordinary part of a window costs the same in both; and a fixed closing follows every window, as zstandard looks for no match in a block's last bytes.)
 
@@ -35,7 +35,7 @@ from .scratch import return_memory, table, worker_state
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 TRAINING_ROWS = 5_000
-WORDS, STEP = 5, 2
+WORDS, STEP = 5, 4
 ORDINARY_BYTES, TOXIC_BYTES = 100_000, 8_000
 SEGMENT, PART = 16, 6  # of dictionary training: bytes of what is taken over, and of what is counted
 ROUNDS, TIMES = 2, 10  # a toxic window is trained on again if it gains what ordinary ones gain TIMES more seldom
