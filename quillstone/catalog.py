@@ -146,8 +146,8 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1",
     ),
     "group_avg": (
-        "SELECT ?t (ROUND(AVG(?v) * 1000) AS ?mean) (xsd:double(AVG(?u)) AS ?users) WHERE { ?e :event_type ?t ; :value ?v ; :user_id ?u } GROUP BY ?t".replace(" (xsd:double(AVG(?u)) AS ?users)", ""),
-        "SELECT event_type AS t, floor(avg(value) * 1000 + 0.5) AS mean FROM events GROUP BY 1",
+        "SELECT ?t (ROUND(AVG(?v) * 1000) AS ?mean) (xsd:double(AVG(?u)) AS ?users) WHERE { ?e :event_type ?t ; :value ?v ; :user_id ?u } GROUP BY ?t",
+        "SELECT event_type AS t, floor(avg(value) * 1000 + 0.5) AS mean, avg(user_id) AS users FROM events GROUP BY 1",
     ),
     "group_sample": ("SELECT ?r (SAMPLE(?n) AS ?name) WHERE { ?x :r_regionkey ?r ; :r_name ?n } GROUP BY ?r", "SELECT CAST(r_regionkey AS BIGINT) AS r, r_name AS name FROM region"),
     "group_sum_distinct": (
@@ -271,12 +271,12 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more
+    from . import catalog_extra, catalog_more
 
-    return {name: _run(text) for name, (text, _) in QUERIES.items()} | catalog_more.queries()
+    return {name: _run(text) for name, (text, _) in QUERIES.items()} | catalog_more.queries() | catalog_extra.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more
+    from . import catalog_extra, catalog_more
 
-    return {name: sql for name, (_, sql) in QUERIES.items()} | catalog_more.oracle_sql()
+    return {name: sql for name, (_, sql) in QUERIES.items()} | catalog_more.oracle_sql() | catalog_extra.oracle_sql()

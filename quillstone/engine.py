@@ -81,6 +81,10 @@ class Engine:
             raise ValueError(f"a {query.form} query")
         return self.plain(self.relation(query, config), terms)
 
+    def match(self, patterns: list[tuple[str, str, str]]) -> DataFrame:
+        """Triple patterns without SPARQL: each part is a ?variable, an <iri>, a prefixed name or a literal; a row per match of all of them."""
+        return self.select("SELECT * WHERE { " + " . ".join(" ".join(p) for p in patterns) + " }")
+
     def ask(self, text: str) -> bool:
         query, config = self.parse(text)
         return not self.relation(query, config).df.isEmpty()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from urllib.parse import urljoin
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.algebra import IRI, XSD
@@ -250,9 +254,23 @@ def encode_for_uri(c, v):
     return string(out)
 
 
-def _pattern(p: Value, flags: Value | None) -> Column:
+@lru_cache(4096)
+def groups(pattern: str) -> int:
+    """Groups of a pattern; -1 if it is none."""
+    try:
+        return SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except (Py4JJavaError, PySparkException):
+        return -1
+
+
+def _pattern(p: Value, flags: Value | None = None) -> Column:
+    """A pattern with its flags; null for a bad one, as every error is."""
     given = "" if flags is None else (flags.constant.lex if flags.constant is not None else "")
     source = lexical(p)
+    if "q" not in given and p.constant is None:
+        source = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), source)
+    elif "q" not in given and groups(p.constant.lex) < 0:
+        source = F.lit(None).cast("string")
     if "q" in given:
         source = F.concat(F.lit("\\Q"), F.replace(source, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     mode = "".join(f for f in "imsx" if f in given)
@@ -266,7 +284,13 @@ def regex(c, v, p, flags=None):
 
 @on_values("REPLACE")
 def replace(c, v, p, r, flags=None):
-    return c.like(v, F.regexp_replace(c.text(v)[0], _pattern(p, flags), lexical(r)))
+    into = lexical(r)
+    if r.constant is not None and p.constant is not None and "q" not in (flags.constant.lex if flags is not None and flags.constant is not None else ""):
+        n = groups(p.constant.lex)
+        # a group that the pattern doesn't have is empty
+        into = F.lit(re.sub(r"(?<!\\)\$([0-9])", lambda m: m[0] if int(m[1]) <= n else "", r.constant.lex))
+    into = F.when(F.regexp_like(into, F.lit(r"^(?s:[^$\\]|\\.|\$[0-9])*$")), into)
+    return c.like(v, F.regexp_replace(c.text(v)[0], _pattern(p, flags), into))
 
 
 # numbers

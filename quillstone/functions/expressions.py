@@ -143,7 +143,7 @@ class Compiler:
         lx, ly = term_lex(x), term_lex(y)
         truth = lambda lex: F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False)
         out = F.when(numeric, by_number).when(both("xsd:string"), self._plain_compare(op, lx, ly)).when(both("xsd:boolean"), self._plain_compare(op, truth(lx), truth(ly)))
-        out = out.when(both("xsd:dateTime"), self._plain_compare(op, F.try_to_timestamp(lx), F.try_to_timestamp(ly))).when(both("xsd:date"), self._plain_compare(op, lx.try_cast("date"), ly.try_cast("date")))
+        out = out.when(both("xsd:dateTime"), self._plain_compare(op, F.try_to_timestamp(lx), F.try_to_timestamp(ly))).when(both("xsd:date"), self._compare_dates(op, lx, ly))
         if op in ("=", "!="):
             eq = op == "="
             comparable = F.coalesce(tx.isin(KNOWN) | is_numeric_tag(tx) | tx.startswith("@"), F.lit(True)) & F.coalesce(ty.isin(KNOWN) | is_numeric_tag(ty) | ty.startswith("@"), F.lit(True))
@@ -157,6 +157,14 @@ class Compiler:
         return to_term(self.plain(a)) == to_term(self.plain(b))
 
     # arithmetic
+    def _compare_dates(self, op: str, lx: Column, ly: Column) -> Column:
+        """Dates by the instants they begin at. With a zone on one side only, they are ordered when 14 hours or more can't make a difference."""
+        form = r"^\d{4}-\d\d-\d\d(Z|[+-]\d\d:\d\d)?$"
+        zones = [F.regexp_extract(x, form, 1) for x in (lx, ly)]
+        a, b = (F.when(F.regexp_like(x, F.lit(form)), F.try_to_timestamp(F.concat(F.substring(x, 1, 10), F.lit("T00:00:00"), F.when(z == "", "Z").otherwise(z)))) for x, z in zip((lx, ly), zones))
+        apart = F.abs(F.unix_seconds(a) - F.unix_seconds(b)) > 14 * 3600
+        return F.when(((zones[0] == "") == (zones[1] == "")) | apart, self._plain_compare(op, a, b))
+
     def arithmetic(self, op: str, a: Value, b: Value) -> Value:
         if a.kind in NUMERIC and b.kind in NUMERIC:
             kind = max(a.kind, b.kind, key=NUMERIC.index)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..terms import NUMERIC, Value, lexical, null, term_double
+from .builtins import _pattern
 from .registry import scalar, tuple_function
 
 FN = "urn:quillstone:fn:"
@@ -31,10 +37,19 @@ def log(c, v, base=None):
     return Value(F.when(b == 10, F.log10(x)).otherwise(F.ln(x) / F.ln(b)), "double")
 
 
+@lru_cache(4096)
+def _date_pattern(text: str) -> bool:
+    try:
+        SparkSession.active().sql("SELECT date_format(timestamp_seconds(0), :p)", args={"p": text}).collect()  # folded, no job
+    except PySparkException:
+        return False
+    return True
+
+
 @scalar(FN + "parse_date")
 def parse_date(c, v, pattern):
-    """A date or time formatted by a date pattern."""
-    if pattern.constant is None:
+    """A date or time formatted by a constant date pattern; null for a bad one."""
+    if pattern.constant is None or not _date_pattern(pattern.constant.lex):
         return null("string")
     stamp = v.col if v.kind in ("dateTime", "date") else F.coalesce(F.try_to_timestamp(lexical(v)), F.substring(lexical(v), 1, 10).try_cast("date").cast("timestamp"))
     return Value(F.date_format(stamp, pattern.constant.lex), "string")
@@ -43,7 +58,7 @@ def parse_date(c, v, pattern):
 @tuple_function(FN + "split")
 def split(c, v, pattern):
     """The parts of a string between matches, as rows; empty parts at the end are left out."""
-    parts = F.split(c.text(v)[0], lexical(pattern))
+    parts = F.split(c.text(v)[0], _pattern(pattern))
     # the last part that isn't empty
     keep = F.size(parts) - F.coalesce(F.array_position(F.transform(F.reverse(parts), lambda x: x != ""), True) - 1, F.size(parts).cast("bigint"))
     return F.slice(parts, F.lit(1), keep.cast("int"))
@@ -67,33 +82,42 @@ def distance(c, a, b, unit=None):
     return Value(angle * scale, "double") if scale else null("double")
 
 
-def _inside(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    import re
+@lru_cache(1024)
+def _rings(text: str) -> list[list[tuple[float, float]]] | None:
+    """The rings, outer ones and holes, of a polygon or of several; None for anything else."""
+    m = re.fullmatch(r"(?is)\s*(?:<[^>]*>\s*)?(?:MULTI)?POLYGON\s*(?:Z|M|ZM)?\s*(\(.*\))\s*", text)
+    if not m:
+        return None
+    try:
+        rings = [[(float(x), float(y)) for x, y, *_ in (p.split() for p in r.split(","))] for r in re.findall(r"\(([^()]*)\)", m[1])]
+    except ValueError:
+        return None
+    return rings if rings and all(len(r) > 2 for r in rings) else None
 
-    rings: dict[str, list | None] = {}
 
-    def ring(text: str):
-        if text not in rings:
-            m = re.search(r"(?i)POLYGON\s*\(\((.*?)\)", text)
-            rings[text] = [tuple(map(float, p.split()[:2])) for p in m[1].split(",")] if m else None
-        return rings[text]
+def _inside(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    """Whether a ray from the point crosses an odd number of edges, those of holes included."""
 
     def test(text, px, py):
-        r = ring(text) if text is not None else None
-        if not r or px is None or py is None or px != px or py != py:
+        rings = _rings(text) if text is not None else None
+        if not rings or px is None or py is None or px != px or py != py:
             return None
         odd = False
-        for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]):
-            if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
-                odd = not odd
+        for r in rings:
+            for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]):
+                if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
+                    odd = not odd
         return odd
 
-    return pd.Series([test(*r) for r in zip(polygon, x, y)])
+    return pd.Series([test(*r) for r in zip(polygon, x, y)], dtype=object)
 
 
-def _contains(c, polygon, point):
+def _contains(c, a, b):
+    """Whether a polygon holds a point; the two may come in either order."""
+    first = F.regexp_like(lexical(a), F.lit(r"(?i)^\s*(<[^>]*>\s*)?POINT"))
+    polygon, point = F.when(first, lexical(b)).otherwise(lexical(a)), Value(F.when(first, lexical(a)).otherwise(lexical(b)), "string")
     x, y = _point(point)
-    return Value(F.pandas_udf(_inside, BooleanType())(lexical(polygon), x, y), "boolean")
+    return Value(F.pandas_udf(_inside, BooleanType())(polygon, x, y), "boolean")
 
 
 for _name in ("ehContains", "sfContains"):

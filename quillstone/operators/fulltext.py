@@ -19,6 +19,7 @@ from .relation import Relation, build, q
 
 SEARCH = "urn:quillstone:search:"
 TOKENS = r"[^\p{L}\p{N}]+"
+WORD = r"[^\W_]+"  # a token in Python's terms
 
 
 def parse_query(text: str) -> list[tuple[str, str, str]]:
@@ -26,7 +27,7 @@ def parse_query(text: str) -> list[tuple[str, str, str]]:
     out = []
     for m in re.finditer(r'([+-]?)(?:"([^"]*)"|(\S+))', text):
         if m[2] is not None:
-            out.append((m[1], "phrase", " ".join(re.findall(r"\w+", m[2].lower()))))
+            out.append((m[1], "phrase", " ".join(re.findall(WORD, m[2].lower()))))
         elif m[3] in ("AND", "OR"):
             if m[3] == "AND" and out:
                 out[-1] = ("+", *out[-1][1:])
@@ -34,7 +35,8 @@ def parse_query(text: str) -> list[tuple[str, str, str]]:
         else:
             word = m[3].lower()
             kind = "prefix" if word.endswith("*") else "word"
-            for w in re.findall(r"\w+", word):
+            words = re.findall(WORD, word)
+            for w in [" ".join(words)] if kind == "prefix" and words else words:
                 out.append((m[1], kind, w))
     done, must = [], False
     for occur, kind, word in out:

@@ -13,6 +13,7 @@ from ..functions import builtins, extensions, labels, registry  # noqa: F401  (i
 from ..functions.expressions import Compiler
 from ..plans import algebra as A
 from ..plans.algebra import BGP, IRI, Path, Triple, Var
+from ..sources.graphs import EachGraph, QuadGraph
 from ..terms import DECIMAL, NUMERIC, SQL_TYPES, Value, constant, encode, from_numeric, lexical, order_key, rank, term_decimal, term_double, term_tag, to_term
 from .materialize import materialized
 from .relation import Algebra, Relation, build, columns, empty, q
@@ -243,6 +244,15 @@ class Lowering:
             if allowed is not None and node.name.value not in allowed and (self.default or allowed):
                 return self.none(A.variables(node.child))
             return self(node.child, node.name.value)
+        known = (allowed or []) if self.default or allowed else None
+        if isinstance(self.source, QuadGraph) and spreads(node.child):
+            # the graph is a column that all patterns share: one plan for any number of graphs
+            hidden, name = self.new("_g"), node.name.name
+            r = self(node.child, EachGraph(hidden, known))
+            scope = r.scope()
+            if name in scope:  # inside, the variable is bound by a pattern only; outside it is the graph's name
+                r = Relation(r.df.filter(q(name).isNull() | self.algebra.same(scope[name], scope[hidden])), r.kinds, r.sure)
+            return build(r.df, {v: x for v, x in scope.items() if v not in (hidden, name)} | {name: scope[hidden]}, (r.sure - {hidden}) | {name})
         out = None
         for name in self.source.graph_names() if not (self.default or allowed) else allowed or []:
             r = self.algebra.join(self(node.child, name), self.bind(node.name.name, IRI(name)))
@@ -324,6 +334,11 @@ class Lowering:
         results: dict[str, tuple] = {}
         aggs = []
         for name, (_, f, e, distinct, separator) in node.aggs:
+            if f in registry.AGGREGATE:
+                v = registry.AGGREGATE[f](c, c(e), distinct)
+                aggs.append(v.col.alias(name))
+                results[name] = v.kind
+                continue
             col, kind = aggregate(c, f, None if e is None else c(e), distinct, separator, [x for v in r.kinds for x in columns(v, r.value(v))])
             aggs.append(col.alias(name))
             results[name] = kind
@@ -336,6 +351,22 @@ class Lowering:
         return Relation(df, kinds, sure)
 
 
+def spreads(x: Any) -> bool:
+    """Whether a pattern means the same in each graph apart and over all with the graph as a shared column."""
+    if isinstance(x, BGP):
+        steps = [t.p for t in x.triples]
+        while any(isinstance(p, Path) and p.kind in ("inverse", "sequence", "alternative") for p in steps):
+            steps = [y for p in steps for y in (p.args if isinstance(p, Path) and p.kind in ("inverse", "sequence", "alternative") else [p])]
+        return bool(steps) and all(isinstance(p, Var) or isinstance(p, IRI) and not p.value.startswith(SEARCH) or isinstance(p, Path) and p.kind == "iri" for p in steps)
+    if isinstance(x, (A.Join, A.Union)):
+        return spreads(x.left) and spreads(x.right)
+    if isinstance(x, A.LeftJoin):
+        return spreads(x.left) and spreads(x.right) and not A.has_exists(x.condition)
+    if isinstance(x, A.Filter):
+        return spreads(x.child) and not A.has_exists(x.condition)
+    return isinstance(x, A.Extend) and spreads(x.child) and not A.has_exists(x.expr)
+
+
 def aggregate(c: Compiler, f: str, v: Value | None, distinct: bool, separator: str, every: list):
     """(column, kind) of an aggregate. A bound member that isn't a number makes SUM and AVG unbound; unbound members are skipped."""
     if f == "COUNT":

@@ -13,11 +13,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators.fulltext import build_index
+from .functions.expressions import Compiler
+from .functions.extensions import GEOF
+from .functions.registry import SCALAR
+from .operators.fulltext import build_index, condition
 from .plans.algebra import RDF
-from .terms import term_tag
+from .terms import Value, term_lex, term_tag
 
 CONFIG = "urn:quillstone:pipe:"
+#: kind of a configured node -> (values, data) to its route; more may be put in.
+KINDS: dict[str, Callable[[list[str], DataFrame], Route]] = {
+    "predicate": lambda found, data: predicate_filter(*found),
+    "language": lambda found, data: language_filter(*found, accept_none="" in found),
+    "type": lambda found, data: type_filter(data, *found),
+    "text": lambda found, data: either(*map(text_filter, found)),
+    "geo": lambda found, data: either(*map(geo_filter, found)),
+}
 
 
 @dataclass
@@ -42,6 +53,17 @@ def language_filter(*languages: str, accept_none: bool = False) -> Route:
     return where(ok | (F.coalesce(tag == "xsd:string", F.lit(False)) if accept_none else F.lit(False)))
 
 
+def text_filter(query: str) -> Route:
+    """Triples whose literal matches a full-text query."""
+    return where(condition(F.when(F.col("o").startswith("L"), term_lex(F.col("o"))), query))
+
+
+def geo_filter(polygon: str) -> Route:
+    """Triples whose literal is a point inside a polygon (well-known text)."""
+    c = Compiler({}, {})
+    return where(SCALAR[GEOF + "sfWithin"](c, Value(F.when(F.col("o").startswith("L"), term_lex(F.col("o"))), "string"), Value(F.lit(polygon), "string")).col)
+
+
 def type_filter(types: DataFrame, *classes: str, predicate: str = RDF + "type") -> Route:
     """Triples of subjects that ``types`` (triples) gives one of the classes."""
     known = types.filter((F.col("p") == F.lit("I" + predicate)) & F.col("o").isin(["I" + c for c in classes])).select("s").distinct()
@@ -118,7 +140,7 @@ def indexes(root: Node, triples: DataFrame) -> dict[str, DataFrame]:
 
 
 def compile_config(config: DataFrame, data: DataFrame, root: str, values: dict[str, str] | None = None) -> Node:
-    """A pipeline from a configuration graph (triples): nodes have pipe:kind ("predicate", "language", "type", "index"), pipe:value (repeated),
+    """A pipeline from a configuration graph (triples): nodes have pipe:kind ("index" or one of ``KINDS``), pipe:value (repeated),
     pipe:yes and pipe:no. ``${key}`` in values is replaced. The configuration is small and read by the driver."""
     facts: dict[tuple[str, str], list[str]] = {}
     for r in config.filter(F.col("p").startswith("I" + CONFIG)).select("s", "p", "o").collect():
@@ -132,7 +154,6 @@ def compile_config(config: DataFrame, data: DataFrame, root: str, values: dict[s
         found = facts.get((s, "value"), [])
         if kind == "index":
             return Node((facts.get((s, "name")) or [s])[0])
-        route = {"predicate": lambda: predicate_filter(*found), "language": lambda: language_filter(*found, accept_none="" in found), "type": lambda: type_filter(data, *found)}[kind]()
-        return Node(route=route, yes=[node(x) for x in facts.get((s, "yes"), [])], no=[node(x) for x in facts.get((s, "no"), [])])
+        return Node(route=KINDS[kind](found, data), yes=[node(x) for x in facts.get((s, "yes"), [])], no=[node(x) for x in facts.get((s, "no"), [])])
 
     return node(root)

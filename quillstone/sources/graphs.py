@@ -150,6 +150,14 @@ class VirtualGraph:
         return self.quads(names).select("s", "p", "o")
 
 
+@dataclass
+class EachGraph:
+    """Patterns are matched in every named graph (or in those of ``names``) apart; ``variable`` holds the graph."""
+
+    variable: str
+    names: list[str] | None = None
+
+
 class QuadGraph:
     """Stored quads: encoded terms in (s, p, o, g), g null in the default graph. Rows are a set."""
 
@@ -174,13 +182,16 @@ class QuadGraph:
     def bgp(self, triples: list[Triple], graph: Any) -> Relation:
         if not triples:
             return Relation(self.spark.range(1).select(F.lit(1).alias("__one")), {}, set(), True)
+        if isinstance(graph, EachGraph):
+            named = self.quads_df.filter("g is not null" if graph.names is None else F.col("g").isin(["I" + g for g in graph.names]))
+            return join_connected(self.algebra, [match(named, t, self.spark, {}, graph.variable) for t in triples])
         source = self.triples(graph)
         return join_connected(self.algebra, [match(source, t, self.spark, {}) for t in triples])
 
 
-def match(source: DataFrame, t: Triple, spark: SparkSession, refs: dict[str, str]) -> Relation:
-    """One triple pattern over encoded triples."""
-    values: dict[str, Value] = {}
+def match(source: DataFrame, t: Triple, spark: SparkSession, refs: dict[str, str], graph: str | None = None) -> Relation:
+    """One triple pattern over encoded triples; ``graph`` names a variable for the graph of encoded quads."""
+    values: dict[str, Value] = {graph: Value(F.col("g"), "term")} if graph else {}
     for name, x in (("s", t.s), ("p", t.p), ("o", t.o)):
         if isinstance(x, (IRI, Literal)):
             source = source.filter(F.col(name) == F.lit(encode(x)))

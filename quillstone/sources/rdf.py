@@ -1,7 +1,7 @@
 """RDF files as encoded quads (s, p, o, g), g null in the default graph, and back.
 
 N-Triples and N-Quads are split into lines and read by Spark's own functions; only lines with escapes go through Python. Turtle, TriG and
-RDF/XML are read a file to a task. Compressed files (gz, bz2, xz, and members of zip and tar archives) are opened by their suffix.
+RDF/XML are read a file to a task. Compressed files (gz, bz2, xz, lzma, lz4, zst, and members of zip and tar archives) are opened by their suffix.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,17 @@ LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[
 NOTATIONS = {"nt": "ntriples", "nq": "nquads", "ttl": "turtle", "turtle": "turtle", "n3": "turtle", "trig": "trig", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "parquet": "parquet", "zip": "archive", "tar": "archive", "tgz": "archive"}
 
 
+def _framed(codec: str):
+    return lambda data: pa.CompressedInputStream(pa.BufferReader(data), codec).read()
+
+
+OPENERS = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress, ".lzma": lzma.decompress, ".lz4": _framed("lz4"), ".zst": _framed("zstd")}
+
+
 def notation(path: str) -> str:
     """The notation of a file by its suffix, compression aside."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
-    for end in (".gz", ".bz2", ".xz", ".lz4", ".zst"):
+    for end in OPENERS:
         name = name.removesuffix(end)
     return NOTATIONS.get(name.rsplit(".", 1)[-1].rstrip("*"), "ntriples")
 
@@ -89,6 +97,18 @@ def read_lines(spark: SparkSession, path: str | list[str], strict: bool = False)
     return simple.unionByName(parts.filter("escaped").select(*(F.get("x", i + 1).alias(c) for i, c in enumerate("spog"))).mapInPandas(_escaped, QUADS))
 
 
+def changed_lines(lines: DataFrame) -> DataFrame:
+    """(operation, s, p, o, g) of lines: those that open with ``-`` remove, others add."""
+    body = F.regexp_replace("value", r"^\s*[+-]\s*", "")
+    parts = lines.select(F.when(F.regexp_like("value", F.lit(r"^\s*-")), "remove").otherwise("add").alias("operation"), split_line(body).alias("x")).filter("x is not null")
+    return parts.select("operation", F.inline(F.array(encoded_line(F.col("x")))))
+
+
+def read_changes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The changes in files of lines, as ``streaming.ingest`` takes them from a folder."""
+    return changed_lines(spark.read.text(path))
+
+
 class TurtleParser(Parser):
     """Turtle and TriG on the query parser's terms: triples with their graph."""
 
@@ -200,7 +220,7 @@ def rdfxml(data: bytes, base: str = "", file: str = "") -> list[tuple]:
 def parse_bytes(data: bytes, path: str, base: str = "") -> list[tuple]:
     """Quads of one file's bytes, by its suffixes."""
     low = path.lower()
-    for end, opener in ((".gz", gzip.decompress), (".bz2", bz2.decompress), (".xz", lzma.decompress)):
+    for end, opener in OPENERS.items():
         if low.endswith(end) and not low.endswith(".tar" + end):
             return parse_bytes(opener(data), path[: -len(end)], base)
     if low.endswith(".zip"):
@@ -229,7 +249,8 @@ def parse_bytes(data: bytes, path: str, base: str = "") -> list[tuple]:
 def read_rdf(spark: SparkSession, path: str | list[str], kind: str | None = None, base: str = "") -> DataFrame:
     """Quads of files, folders or globs in any notation known here."""
     kind = kind or notation(path if isinstance(path, str) else path[0])
-    if kind in ("ntriples", "nquads"):
+    packed = [p for p in ([path] if isinstance(path, str) else path) if p.lower().endswith((".xz", ".lzma", ".lz4", ".zst"))]
+    if kind in ("ntriples", "nquads") and not packed:  # Spark opens the other suffixes itself
         return read_lines(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)

@@ -199,6 +199,10 @@ class Store:
         df = self.quads()
         return {"ALL": df, "DEFAULT": df.filter("g is null"), "NAMED": df.filter("g is not null")}.get(target, df.filter(F.col("g") == F.lit("I" + target)))
 
+    def _known(self, target: str) -> None:
+        if target not in ("ALL", "DEFAULT", "NAMED") and self._of(target).isEmpty():
+            raise LookupError(f"no graph {target}")
+
     def _apply(self, u: A.Update) -> None:
         a = u.args
         if u.kind == "INSERT DATA":
@@ -208,9 +212,13 @@ class Store:
         if u.kind == "MODIFY":
             return self._modify(a)
         if u.kind in ("CLEAR", "DROP"):
+            if u.kind == "DROP" and not a["silent"]:
+                self._known(a["target"])
             return self.change(dels=self._of(a["target"]))
-        if u.kind == "CREATE":
-            return None  # a graph is there when it has quads
+        if u.kind == "CREATE":  # a graph is there when it has quads
+            if not a["silent"] and not self._of(a["target"]).isEmpty():
+                raise LookupError(f"graph {a['target']} exists")
+            return None
         if u.kind == "LOAD":
             try:
                 return self.load(a["source"], graph=a["target"])
@@ -218,6 +226,8 @@ class Store:
                 if a["silent"]:
                     return None
                 raise
+        if not a["silent"]:
+            self._known(a["source"])
         if a["source"] == a["target"]:
             return None
         moved = self._of(a["source"]).withColumn("g", F.lit(None if a["target"] == "DEFAULT" else "I" + a["target"]).cast("string"))

@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.rdf import encoded_line, split_line
+from ..sources.rdf import changed_lines
 from ..store import Store
 
 
 def line_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """Quads of N-Triples / N-Quads files as they appear in a folder, with the operation of each: lines that open with ``-`` remove."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
-    body = F.regexp_replace("value", r"^\s*[+-]\s*", "")
-    parts = lines.select(F.when(F.regexp_like("value", F.lit(r"^\s*-")), "remove").otherwise("add").alias("operation"), split_line(body).alias("x")).filter("x is not null")
-    return parts.select("operation", F.inline(F.array(encoded_line(F.col("x")))))
+    return changed_lines(spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder))
 
 
 def ingest(store: Store, changes: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:

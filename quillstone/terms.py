@@ -74,7 +74,8 @@ def constant(t: IRI | Literal) -> Value:
         if name == "string":
             return Value(F.lit(t.lex), "string", constant=t)
         if name == "integer":
-            return Value(F.lit(int(t.lex)).cast("bigint"), "integer", constant=t)
+            if -(1 << 63) <= int(t.lex) < 1 << 63:
+                return Value(F.lit(int(t.lex)).cast("bigint"), "integer", constant=t)
         if name == "decimal":
             return Value(F.lit(t.lex).cast(DECIMAL), "decimal", constant=t) if t.lex.replace(".", "").lstrip("+-").isdigit() else Value(F.lit(encode(t)), "term", constant=t)
         if name == "double":
@@ -85,7 +86,7 @@ def constant(t: IRI | Literal) -> Value:
             if re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?", t.lex):  # without a zone, as columns without one
                 return Value(F.expr(f"TIMESTAMP_NTZ '{t.lex}'"), "dateTime", constant=t)
             return Value(F.try_to_timestamp(F.lit(t.lex)), "dateTime", constant=t)
-        if name == "date":
+        if name == "date" and re.fullmatch(r"\d{4}-\d\d-\d\d", t.lex):  # a zone needs the whole form
             return Value(F.lit(t.lex).try_cast("date"), "date", constant=t)
     except ValueError:
         pass

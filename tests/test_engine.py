@@ -202,3 +202,26 @@ def test_fulltext(e):
     assert bag(e, 'SELECT ?s { ?s search:matches [ search:query "ann nobody" ] }') == [(":a",)]
     assert bag(e, 'SELECT ?s { ?s search:matches [ search:query "bo*" ; search:property :name ] }') == [(":b",)]
     assert bag(e, 'SELECT ?s { ?s search:matches [ search:query "+b -fr" ] }') == [(":b",)]
+
+
+def test_graph_variable_is_one_plan(spark):
+    e = engine(spark, TRIG)
+    assert bag(e, "SELECT ?g ?s { GRAPH ?g { ?s :in 1 } }") == [(":g1", ":a"), (":g2", ":a")]
+    assert bag(e, "SELECT ?g ?v { GRAPH ?g { :a :in ?v OPTIONAL { :b :in ?w } FILTER(!BOUND(?w)) } }") == [(":g2", "1")]
+    assert bag(e, "SELECT ?g { GRAPH ?g { :b :in ?v . :c :in ?w } }") == []
+    assert bag(e, "SELECT ?g ?s FROM NAMED :g2 { GRAPH ?g { ?s :in ?v } }") == [(":g2", ":a"), (":g2", ":c")]
+    assert bag(e, "SELECT ?g { VALUES ?g { :g2 } GRAPH ?g { :c :in ?v FILTER(!BOUND(?g)) } }") == [(":g2",)]
+    many = engine(spark, "".join(f":g{i} {{ :a :in {i} }} " for i in range(300)).join(["@prefix : <http://x/> . ", ""]))
+    df = many.select("SELECT ?g { GRAPH ?g { ?s :in ?v FILTER(?v < 3) } }")
+    assert df.count() == 3 and "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_error_is_unbound(e):
+    assert bag(e, 'SELECT (REGEX("a", "[") AS ?x) (REPLACE("a", "(", "b") AS ?y) (REPLACE("a", "a", "$") AS ?z) {}') == [(None, None, None)]
+    assert bag(e, 'SELECT (REPLACE("ab", "(a)", "$1$1$2") AS ?x) (REGEX("a[", "[", "q") AS ?y) {}') == [("aab", True)]
+    assert bag(e, 'SELECT (STR(99999999999999999999) AS ?x) ("2006-08-23Z"^^xsd:date = "2006-08-23+00:00"^^xsd:date AS ?y) ("2006-08-23"^^xsd:date = "2006-08-23Z"^^xsd:date AS ?z) ("2006-08-23"^^xsd:date < "2006-08-25Z"^^xsd:date AS ?w) {}') == [("99999999999999999999", True, None, True)]
+    assert bag(e, 'SELECT (geof:sfWithin("POINT(1 1)", "POINT(1 1)") AS ?x) (fn:parse_date("2011-05-04T01:02:03", "jjj") AS ?y) {}') == [(None, None)]
+
+
+def test_label_service_before_its_pattern(e):
+    assert bag(e, 'SELECT ?s ?sLabel { SERVICE wikibase:label { [] wikibase:language "fr" } ?s :q :c }') == [(":b", "b fr")]

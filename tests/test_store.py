@@ -128,3 +128,27 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "2.nt").write_text("- <a:a> <a:b> <a:c> .\n+ <a:a> <a:b> <a:e> .\n")
     ingest(st, line_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/cp", available_now=True).awaitTermination(60)
     assert sorted(r.o for r in st.quads().collect()) == ["Ia:d", "Ia:e"]
+
+
+def test_operations_on_missing_graphs_fail_unless_silent(store):
+    for text in ("DROP {} GRAPH :none", "MOVE {} :none TO :z", "ADD {} :none TO :z", "COPY {} :none TO :z", "CREATE {} GRAPH :g"):
+        with pytest.raises(LookupError):
+            store.update(text.format(""))
+        store.update(text.format("SILENT"))
+    assert store.size() == 4
+
+
+@pytest.mark.parametrize("end", [".xz", ".lzma", ".lz4", ".zst"])
+def test_compressed_lines(spark, tmp_path, end):
+    import lzma
+
+    import pyarrow as pa
+
+    data = b"<a:a> <a:b> <a:c> .\n"
+    sink = pa.BufferOutputStream()
+    if end in (".lz4", ".zst"):
+        with pa.CompressedOutputStream(sink, {".lz4": "lz4", ".zst": "zstd"}[end]) as out:
+            out.write(data)
+    packed = {".xz": lambda: lzma.compress(data), ".lzma": lambda: lzma.compress(data, lzma.FORMAT_ALONE)}.get(end, lambda: sink.getvalue().to_pybytes())()
+    (tmp_path / f"x.nt{end}").write_bytes(packed)
+    assert read_rdf(spark, f"{tmp_path}/x.nt{end}").collect()[0].o == "Ia:c"
