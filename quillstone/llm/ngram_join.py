@@ -52,6 +52,7 @@ CACHED_WORDS = 120_000
 CLASS_RATIO = 1.5
 BROADCAST_IDS = 500_000  # rows of two numbers
 SKETCH = 16  # 64-bit words
+PARTS = 4  # of the signatures, counted one after the other
 SMALL = 4  # nodes of a signature that are paired without a pivot
 SLICES = ((0, 4), (4, 64))  # of 64: the signatures of mixed groups that are paired in each round
 DROP_BITS = 24  # a rule is a class and, in its low bits, how many of the commonest signatures go
@@ -234,15 +235,24 @@ def meetings(made: DataFrame) -> DataFrame:
     twice = rows.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     spare = keep(rows.select("node", "row").join(twice, "node").filter("row <> first").select("row"), "spare")
     sigs = rows.join(few(spare), "row", "left_anti").select("node", F.explode(F.arrays_zip("sigs", "rules")).alias("x")).select(F.col("x.sigs").alias("sig"), "node", F.col("x.rules").alias("rule"))
-    counts = keep(sigs.groupBy("sig").agg(F.count(F.lit(1)).cast("int").alias("m")).filter("m > 1"), "counts")
-    free_shuffles(made.sparkSession)
-    lists = sigs.join(counts.hint("shuffle_hash"), "sig").groupBy("node", "rule").agg(F.sort_array(F.collect_list(F.struct("m", "sig")), asc=False).alias("x"))
+    # a part of the signatures after the other, so that no more than that part is ever in shuffle files
+    repeated = []
+    for k in range(PARTS):
+        part = sigs.filter(F.pmod("sig", F.lit(PARTS)) == k)
+        counts = keep(part.groupBy("sig").agg(F.count(F.lit(1)).cast("int").alias("m")).filter("m > 1"), "counts")
+        free_shuffles(made.sparkSession)
+        repeated.append(keep(part.join(counts.hint("shuffle_hash"), "sig").select("node", "rule", "m", "sig"), "repeated"))
+        discard(counts)
+        free_shuffles(made.sparkSession)
+    lists = reduce(DataFrame.unionByName, repeated).groupBy("node", "rule").agg(F.sort_array(F.collect_list(F.struct("m", "sig")), asc=False).alias("x"))
     drop = F.col("rule").bitwiseAND((1 << DROP_BITS) - 1)
     rest = keep(lists.filter(F.size("x") > drop).select("node", F.explode(F.slice("x", drop + 1, F.size("x"))).alias("x")).select("x.sig", "node"), "rest")
+    for df in repeated:
+        discard(df)
     free_shuffles(made.sparkSession)
     groups = keep(rest.groupBy("sig").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "groups")
     out = keep(rest.join(groups, "sig"), "shared")
-    for df in (spare, counts, rest, groups):
+    for df in (spare, rest, groups):
         discard(df)
     return out
 
