@@ -28,4 +28,12 @@ def materialized(df: DataFrame) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes the files of a materialized table that no plan needs any more."""
+    at = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept._kept_at)
+    at.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,4 +1,5 @@
-"""Repeated paths: closures by semi-naive rounds, each a join of the newest pairs with the edges."""
+"""Repeated paths: closures by semi-naive rounds. A search from given ends joins the newest pairs with the edges; without given ends they are
+joined with all pairs found, which doubles the length of paths in each round."""
 
 from __future__ import annotations
 
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..plans.algebra import BGP, IRI, Literal, Path, Triple, Var
 from ..terms import Value, constant
-from .materialize import materialized
+from .materialize import discard, materialized
 from .relation import Relation, build, empty, q
 
+COMPACT = 8  # rounds after which the pairs found are rewritten as one table
+
 
 def domain(low: Any, known: Relation | None, x: Any) -> Value | None:
     """The bindings an open end has already."""
@@ -93,37 +96,51 @@ def edges(low: Any, inner: Path, graph: Any) -> tuple[DataFrame, str, str]:
 
 
 def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any, known: Relation | None = None) -> Relation:
-    """Pairs linked by one or more steps. A constant end makes it a search from there. Rounds end when nothing is new; every round's
-    pairs are written to the shared folder, so plans stay small and a lost executor costs one round."""
+    """Pairs linked by one or more steps. A constant end, or one that the group has bound to a minor part of the nodes, makes it a search from
+    there. Rounds end when nothing is new; every round's pairs are written to the shared folder, so plans stay small and a lost executor
+    costs one round."""
     df, kind, _ = edges(low, inner, graph)
     if not df.columns:
         return empty(low.spark, {a: kind, b: kind})
     df = materialized(df)
     start, end = "x", "y"
     fixed = s if not isinstance(s, Var) else None
+    v = None
     if fixed is None and not isinstance(o, Var):
         fixed, start, end = o, "y", "x"
-    pairs = df.select(F.col(start).alias("x"), F.col(end).alias("y"))
-    seen = pairs
-    if fixed is not None:
-        c = low.compiler({})
-        v, k = Value(F.col("x"), kind), constant(fixed)
-        seen = pairs.filter(c.compare("=", v, k) if kind.startswith("ref:") else low.algebra.same(v, k))
-    else:
+    elif fixed is None:
         v = domain(low, known, s)
         if v is None and domain(low, known, o) is not None:
             v, start, end = domain(low, known, o), "y", "x"
-            pairs = df.select(F.col(start).alias("x"), F.col(end).alias("y"))
+    pairs = df.select(F.col(start).alias("x"), F.col(end).alias("y"))
+    seen, search = pairs, True
+    if fixed is not None:
+        c = low.compiler({})
+        u, k = Value(F.col("x"), kind), constant(fixed)
+        seen = materialized(pairs.filter(c.compare("=", u, k) if kind.startswith("ref:") else low.algebra.same(u, k)))
+    elif v is not None:
+        only = known.df.select(v.col.alias("__from")).distinct()
+        seen = materialized(pairs.join(only, low.algebra.same(Value(F.col("x"), kind), Value(F.col("__from"), v.kind)), "left_semi"))
+        search = 2 * seen.count() < pairs.count()
+        if not search:  # most nodes are starts
+            discard(seen)
             seen = pairs
-        if v is not None:
-            only = known.df.select(v.col.alias("__from")).distinct()
-            seen = pairs.join(only, low.algebra.same(Value(F.col("x"), kind), Value(F.col("__from"), v.kind)), "left_semi")
-    seen = materialized(seen)
-    newest = seen
-    while not newest.isEmpty():
-        step = pairs.select(F.col("x").alias("via"), F.col("y").alias("to"))
-        reached = newest.join(step, newest["y"] == F.col("via")).select("x", F.col("to").alias("y")).distinct()
+    else:
+        search = False
+    newest, written = seen, []
+    while True:
+        step = (pairs if search else seen).select(F.col("x").alias("via"), F.col("y").alias("to"))
+        reached = newest.select("x", F.col("y").alias("via")).join(step, "via").select("x", F.col("to").alias("y")).distinct()
         newest = materialized(reached.join(seen, ["x", "y"], "left_anti"))
+        if newest.isEmpty():
+            discard(newest)
+            break
         seen = seen.unionByName(newest)
+        written.append(newest)
+        if len(written) > COMPACT:
+            seen = materialized(seen)
+            for old in written[:-1]:
+                discard(old)
+            written = [seen, newest]
     out = {a: Value(F.col(start), kind), b: Value(F.col(end), kind)}
     return build(seen, out, {a, b})

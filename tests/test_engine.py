@@ -103,6 +103,21 @@ def test_paths(e):
     assert e.ask("ASK { :a :q*/:r/:p 4e0 }")
 
 
+def test_closures_against_brute_force(spark):
+    """A chain longer than the rounds between compactions, a cycle with a tail, a diamond and a node that links to itself."""
+    links = [(f"c{i}", f"c{i + 1}") for i in range(21)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r1", "t0"), ("t0", "t1")] + [("d0", "d1"), ("d0", "d2"), ("d1", "d3"), ("d2", "d3"), ("s", "s")]
+    g = engine(spark, "@prefix : <http://x/> . " + " ".join(f":{a} :next :{b} ." for a, b in links) + " :c3 :start 1 . :r0 :start 1 . :t1 :end 1 .")
+    found = set(links)
+    while more := {(a, d) for a, b in found for c, d in links if b == c} - found:
+        found |= more
+    want = sorted((f":{a}", f":{b}") for a, b in found)
+    assert sorted(bag(g, "SELECT ?a ?b { ?a :next+ ?b }")) == want
+    assert sorted(bag(g, "SELECT ?b { :c0 :next+ ?b }")) == [(b,) for a, b in want if a == ":c0"]
+    assert sorted(bag(g, "SELECT ?a { ?a :next+ :c21 }")) == [(a,) for a, b in want if b == ":c21"]
+    assert sorted(bag(g, "SELECT ?a ?b { ?a :start 1 . ?a :next+ ?b }")) == [x for x in want if x[0] in (":c3", ":r0")]
+    assert sorted(bag(g, "SELECT ?a ?b { ?b :end 1 . ?a :next+ ?b }")) == [x for x in want if x[1] == ":t1"]
+
+
 def test_graphs(spark):
     g = engine(spark, TRIG)
     assert bag(g, "SELECT ?s { GRAPH :g1 { ?s :in ?v } }") == [(":a",), (":b",)]
