@@ -4,11 +4,13 @@
    same fifteen words in a row share one.
 2. Links. All occurrences of a seed are linked to one of them, the first in the smallest document: a passage in n documents costs n
    links and not n * n, and each document is compared with the document that keeps the passage. That document may hold only a part of
-   what two others share, so runs of 2 and 7 neighbouring shared seeds are linked to the run's first holder in the same way, where that is another document.
+   what two others share, so runs of 2 and 7 neighbouring shared seeds are linked to the run's first holder in the same way, where that is another document or
+   another place in it. So are stretches: runs of ``MIN_WORDS`` words, seeds and distances alike, none more than ``WINDOW`` apart. A document that has a stretch
+   has nearly all its words in a row, so scattered or shorter parts in smaller documents don't come between two documents that share it.
 3. Chains. The links of a pair of documents are chained: positions rise in both, every seed counts ``K`` words, and a gap costs ``GAP`` a word on
    either side. The best predecessor of each link comes from a Fenwick tree of prefix maxima over the positions. One link alone is a
    chain as well: an edited passage may have no more, and the alignment decides.
-4. Alignment. A chain's ends are extended word by word while matches outweigh mismatches, and both spans are aligned by the longest
+4. Alignment. A chain's ends are extended word by word while matches outweigh mismatches, with gaps where that isn't enough, and both spans are aligned by the longest
    common subsequence of their words (bits of one integer). A passage has ``MIN_WORDS`` aligned words and ``IDENTITY`` at least. A chain
    that fails is cut at its largest gap and both parts are tried again, so two passages far apart in a pair are both found. A pair's chains are tried
    from the best one down; one whose words lie in passages already found, in both documents, is a repetition within them and is left out.
@@ -37,6 +39,7 @@ MIN_SEEDS, MIN_WORDS, IDENTITY = 3, 40, 0.7
 MARGIN = 64
 RUNS = (2, 7)  # seven seeds are about MIN_WORDS words
 LOT = 1000
+SHIFTS = sorted(((x, y) for x in range(3) for y in range(3) if x or y), key=sum)  # words left out at a gap
 FOUND = ("start_word", "end_word", "partner_start", "partner_end", "aligned_words")
 U = np.uint64
 
@@ -64,12 +67,30 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for _, p in found], pa.list_(pa.int32()))], names=["doc_id", "seeds", "places"])
 
 
+def stretches(places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash) of the shortest runs of seeds that are ``MIN_WORDS`` words long, none of them more than ``WINDOW`` after the one before."""
+    i = np.arange(len(places))
+    j = np.searchsorted(places, places + (MIN_WORDS - K))
+    i, j = i[j < len(places)], j[j < len(places)]
+    wide = np.concatenate([[0], np.cumsum(np.diff(places) > WINDOW)])
+    i, j = i[wide[i] == wide[j]], j[wide[i] == wide[j]]
+    if not len(i):
+        return i, j, np.empty(0, np.int64)
+    # sums of seeds and distances times powers of an odd number, which its inverse shifts to the run's start
+    odd = 0x9E3779B97F4A7C15
+    power, back = (np.cumprod(np.r_[U(1), np.full(len(places), x, np.uint64)], dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+    h = hashes.view(np.uint64)
+    step = mix64(h[:-1] ^ mix64(np.diff(places).astype(np.uint64) + U(1)))
+    sums = np.r_[U(0), np.cumsum(step * power[: len(step)], dtype=np.uint64)]
+    return i, j, mix64((sums[j] - sums[i]) * back[i] + mix64(h[j]) * power[j - i] + U(1)).view(np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, document, place of its first seed, place of its last one, that seed's first holder) of the runs of a document's shared seeds."""
+    """(run, document, place of its first seed, place of its last one, that first seed's first holder and its place there) of the runs of a document's shared seeds."""
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for doc, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-            places, hashes, holders = (found.values.field(i).to_numpy() for i in range(3))
+            places, hashes, holders, at = (found.values.field(i).to_numpy() for i in range(4))
             for n in RUNS:
                 m = len(places) - n + 1
                 if m < 1:
@@ -77,10 +98,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.zeros(m, np.uint64)
                 for i in range(n):
                     key = key * U(0x9E3779B97F4A7C15) + hashes.view(np.uint64)[i : i + m]
-                for c, x in zip(columns, (mix64(key + U(n)).view(np.int64), np.full(m, doc, np.int64), places[:m], places[n - 1 :], holders[:m])):
+                for c, x in zip(columns, (mix64(key + U(n)).view(np.int64), np.full(m, doc, np.int64), places[:m], places[n - 1 :], holders[:m], at[:m])):
                     c.append(x)
+            i, j, key = stretches(places, hashes)
+            for c, x in zip(columns, (key, np.full(len(i), doc, np.int64), places[i], places[j], holders[i], at[i])):
+                c.append(x)
         if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["seed", "doc_id", "place", "last", "holder"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["seed", "doc_id", "place", "last", "holder", "at"])
 
 
 class Fenwick:
@@ -210,18 +234,45 @@ def extend(a: list[int], b: list[int], i: int, j: int, step: int) -> int:
     return far
 
 
+def drift(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int, int]:
+    """Like ``extend``, over missing words too: how many words either span can grow. A gap costs 1 a word where three words match behind it."""
+    best = score = x = y = 0
+    far = (0, 0)
+    start, other = i, j
+    while 0 <= i < len(a) and 0 <= j < len(b) and score > best - 6:
+        if a[i] == b[j]:
+            i, j, score = i + step, j + step, score + 1
+            if score > best:
+                best, far = score, (abs(i - start), abs(j - other))
+            continue
+        for x, y in SHIFTS:
+            p, q = i + x * step, j + y * step
+            if 0 <= p < len(a) and 0 <= q < len(b) and a[p] == b[q] and 0 <= p + 2 * step < len(a) and 0 <= q + 2 * step < len(b) and a[p + step] == b[q + step] and a[p + 2 * step] == b[q + 2 * step]:
+                break
+        else:
+            x = y = 1
+        i, j, score = i + x * step, j + y * step, score - x - y
+    return far
+
+
 def aligned(a: list[int], b: list[int], path: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(start, end, other start, other end, aligned words) of the passages along a chain of links, positions as in ``a`` and ``b``."""
     out, parts = [], [path]
     while parts:
         p = parts.pop()
-        (s, ps), (e, pe) = p[0], (p[-1][0] + K, p[-1][1] + K)
-        left, right = extend(a, b, s - 1, ps - 1, -1), extend(a, b, e, pe, 1)
-        s, ps, e, pe = s - left, ps - left, e + right, pe + right
-        n = common(a[s:e], b[ps:pe]) if min(e - s, pe - ps) >= MIN_WORDS else 0
-        if n >= MIN_WORDS and 2 * n >= IDENTITY * (e - s + pe - ps):
-            out.append((s, e, ps, pe, n))
-        elif len(p) > 1:
+        tried = None
+        for grow in (lambda *x: (extend(a, b, *x),) * 2, lambda *x: drift(a, b, *x)):
+            (s, ps), (e, pe) = p[0], (p[-1][0] + K, p[-1][1] + K)
+            (left, pleft), (right, pright) = grow(s - 1, ps - 1, -1), grow(e, pe, 1)
+            s, ps, e, pe = s - left, ps - pleft, e + right, pe + pright
+            n = common(a[s:e], b[ps:pe]) if min(e - s, pe - ps) >= MIN_WORDS and tried != (s, e, ps, pe) else 0
+            tried = s, e, ps, pe
+            if n >= MIN_WORDS and 2 * n >= IDENTITY * (e - s + pe - ps):
+                out.append((s, e, ps, pe, n))
+                break
+        else:
+            if len(p) == 1:
+                continue
             k = max(range(1, len(p)), key=lambda k: p[k][0] - p[k - 1][0] + p[k][1] - p[k - 1][1])
             parts += [p[:k], p[k:]]
     return out
@@ -289,10 +340,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for df in (made, holders):
         discard(df)
     # texts of a repeated id may have left one place with two seeds, so runs are over distinct places
-    lists = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "seed", F.col("first.doc_id").alias("holder")))).alias("found"))
-    runs = keep(lists.mapInArrow(_runs, "seed long, doc_id long, place int, last int, holder long"), "runs")
+    lists = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "seed", F.col("first.doc_id").alias("holder"), F.col("first.place").alias("at")))).alias("found"))
+    runs = keep(lists.mapInArrow(_runs, "seed long, doc_id long, place int, last int, holder long, at int"), "runs")
     firsts = keep(runs.groupBy("seed").agg(F.min(F.struct("doc_id", "place", "last")).alias("first"), F.max("doc_id").alias("most")).filter("most <> first.doc_id").drop("most"), "firsts")
-    more = runs.join(firsts.hint("shuffle_hash"), "seed").filter("doc_id <> first.doc_id and holder <> first.doc_id")
+    more = runs.join(firsts.hint("shuffle_hash"), "seed").filter("doc_id <> first.doc_id and (holder <> first.doc_id or `at` <> first.place)")
     ends = F.array(F.struct("place", F.col("first.place").alias("other")), F.struct(F.col("last").alias("place"), F.col("first.last").alias("other")))
     links = shared.filter("doc_id <> first.doc_id").select("doc_id", F.col("first.doc_id").alias("partner_id"), "place", F.col("first.place").alias("other"))
     links = links.union(more.select("doc_id", F.col("first.doc_id").alias("partner_id"), F.explode(ends).alias("x")).select("doc_id", "partner_id", "x.place", "x.other"))

@@ -501,6 +501,25 @@ def test_passage_of_two_documents_under_many_fragments(spark):
     assert got == {(101, 100): (9, 69, 60)}
 
 
+def test_passages_behind_scattered_parts(spark):
+    """A passage is found though its seeds stand first in scattered parts of it, in the same document or in a smaller one; and with words left out."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"f{rng.random()}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 100, 10):
+        passage = words(rng, 60)
+        parts = sum((passage[x : x + 15] + fresh(25) for x in range(46)), [])
+        rows += [[k, " ".join(parts + passage)], [k + 1, " ".join(fresh(20) + passage + fresh(20))]]
+        passage = words(rng, 60)
+        parts = sum((passage[x : x + 15] + fresh(40) for x in range(0, 60, 15)), [])
+        rows += [[k + 2, " ".join(parts)], *([k + x, " ".join(fresh(20) + passage + fresh(20))] for x in (3, 4))]
+        passage = words(rng, 100)
+        rows += [[k + 5, " ".join(passage)], [k + 6, " ".join(fresh(20) + [w for x, w in enumerate(passage) if x % 10 != 9] + fresh(20))]]
+        want |= {(k + 1, k), (k + 4, k + 3), (k + 6, k + 5)}
+    got = {(r.doc_id, r.partner_id) for r in substring_chain.passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_passages_against_brute_force(spark):
     """Every run of 50 words or more that two documents share is inside a found passage of the larger one, and no passage is without its aligned words."""
     rng = random.Random(22)
