@@ -12,11 +12,12 @@ fragment. That serves twice:
   that a partner's size can belong to.
 * Verification. The overlap of a candidate pair is counted fragment by fragment and summed per pair.
 
-Documents with equal sets are one node from the start. Up to ``SMALL`` nodes with a common signature are paired directly. Among more the
-least is the pivot: only pairs with it are counted first. Signatures whose nodes are then in one component need no further pair. For the others the nodes outside
-the pivot's component are paired with all nodes of other components; so a group of n near copies costs about n pairs
-and not n * n, and yet every link between different components is found: component ids are exact. This goes in slices of the signatures,
-each with the labels that the slice before has left.
+Documents with equal sets are one node from the start. Up to ``SMALL`` nodes with a common signature are paired directly. Among more one
+is the pivot, chosen by the signature so that a group of near copies with several signatures has several pivots and no outlier is the pivot of all: only pairs
+with it are counted first. Signatures whose nodes are then in one component need no further pair. For the others the nodes outside
+the pivot's component are paired with all nodes of other components, and yet every link between different components is found: component ids
+are exact. This goes in slices of the signatures, each with the labels that the slice before has left. Of all these pairs each node's likeliest by
+the sketches is counted first, then each component's, the others only if that leaves them in different components; so a group of n near copies costs about n counted pairs and not n * n.
 
 Before a pair is counted, a parity sketch bounds its difference from below: 1024 bits, each the parity of the n-grams hashed to it. Two
 sketches never differ in more bits than the sets differ in n-grams, so what this bound rejects is no link.
@@ -206,18 +207,23 @@ def linked(pairs: DataFrame, segments: DataFrame, t: Fraction) -> DataFrame:
     return overlap.filter(F.col("overlap") * (t.numerator + t.denominator) >= (F.col("na") + F.col("nb")) * t.numerator).select("a", "b")
 
 
-def plausible(na: Column, nb: Column, a: list[Column], b: list[Column], t: Fraction) -> Column:
+def difference(a: list[Column], b: list[Column]) -> Column:
+    """In how many bits two sketches differ."""
+    return reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)))
+
+
+def plausible(na: Column, nb: Column, differ: Column, t: Fraction) -> Column:
     """Whether sizes and sketches allow a likeness of ``t``: false for no pair that has it."""
-    differ = reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)))
     return (F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator) & (differ * (t.denominator + t.numerator) <= (na + nb) * (t.denominator - t.numerator))
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and sketches allow a likeness of ``t``, as (a, b, na, nb)."""
+    """Of the pairs (a, b) those whose sizes and sketches allow a likeness of ``t``, as (a, b, na, nb, far), far being the sketches' share of differences."""
     words = [f"k{i}" for i in range(SKETCH)]
     one, two = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(k).alias(f"{x}_{k}") for k in words)) for x in "ab")
-    near = plausible(F.col("na"), F.col("nb"), *([F.col(f"{x}_{k}") for k in words] for x in "ab"), t)
-    return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b", "na", "nb")
+    differ = difference(*([F.col(f"{x}_{k}") for k in words] for x in "ab"))
+    both = pairs.join(one, "a").join(two, "b").filter(plausible(F.col("na"), F.col("nb"), differ, t))
+    return both.select("a", "b", "na", "nb", (differ / (F.col("na") + F.col("nb"))).alias("far"))
 
 
 def small_pairs(shared: DataFrame) -> DataFrame:
@@ -229,7 +235,7 @@ def small_pairs(shared: DataFrame) -> DataFrame:
 
 
 def meetings(made: DataFrame) -> DataFrame:
-    """(sig, node, pivot, m): the nodes that share a signature, after each has left out its commonest ones; the pivot is the least of m nodes."""
+    """(sig, node, pivot, m): the nodes that share a signature, after each has left out its commonest ones; the pivot is one of the m nodes, another one for each signature."""
     # copies in different tasks have all sent their signatures: one row of a node stays
     rows = made.filter("sigs is not null")
     twice = rows.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -250,7 +256,8 @@ def meetings(made: DataFrame) -> DataFrame:
     for df in repeated:
         discard(df)
     free_shuffles(made.sparkSession)
-    groups = keep(rest.groupBy("sig").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "groups")
+    pivot = F.min(F.col("node").bitwiseXOR(F.col("sig"))).bitwiseXOR(F.col("sig"))
+    groups = keep(rest.groupBy("sig").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "groups")
     out = keep(rest.join(groups, "sig"), "shared")
     for df in (spare, rest, groups):
         discard(df)
@@ -279,18 +286,10 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     free_shuffles(spark)
 
     large = shared.filter(F.col("m") > SMALL)
-    pivots = large.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pivots = large.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
     pairs = keep(near_pairs(small_pairs(shared).union(pivots).distinct(), sketches, t), "pairs")
-    # a node is counted with its least partner first; other pairs only if that leaves them in different components
-    nearest = keep(pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb"), "nearest")
-    links = keep(linked(nearest, segments, t), "links")
-    found = components(links)
-    apart = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti")
-    for x in "ab":
-        apart = apart.join(few(found).select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    apart = keep(apart.filter("label_a <> label_b").select("a", "b", "na", "nb"), "apart")
-    links, found = merged(links, found, apart, segments, t)
-    discard(nearest)
+    links, found = nearest_first(None, None, pairs, segments, t)
+    seen = [pairs]
 
     # what the pivots leave of the large groups: nodes of one signature in different components
     for low, high in SLICES:
@@ -305,12 +304,13 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
         other = placed_.select("sig", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "major", *words)))
         once = (F.col("label_") == F.col("major_")) | (F.col("node") < F.col("node_"))
         # sizes and sketches are a condition of the join: what they refute is never a row
-        near = plausible(F.col("n"), F.col("n_"), *([F.col(k + x) for k in words] for x in ("", "_")), t)
-        met = minor.join(other, (minor["sig"] == other["sig"]) & (F.col("label") != F.col("label_")) & once & near)
+        differ = difference(*([F.col(k + x) for k in words] for x in ("", "_")))
+        met = minor.join(other, (minor["sig"] == other["sig"]) & (F.col("label") != F.col("label_")) & once & plausible(F.col("n"), F.col("n_"), differ, t))
         first = F.col("node") < F.col("node_")
         ends = (F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "node_", "a"), ("node_", "node", "b"), ("n", "n_", "na"), ("n_", "n", "nb")))
-        rest = keep(met.select(*ends).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        links, found = merged(links, found, rest, segments, t)
+        met = met.select(*ends, (differ / (F.col("n") + F.col("n_"))).alias("far")).distinct()
+        seen.append(keep(met.join(reduce(DataFrame.union, (x.select("a", "b") for x in seen)), ["a", "b"], "left_anti"), "rest"))
+        links, found = nearest_first(links, found, seen[-1], segments, t)
         discard(placed)
         discard(placed_)
 
@@ -319,7 +319,7 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     first = keep(first.join(few(found), "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "first")
     named = first.groupBy("label").agg(F.min("first").alias("component_id"))
     named = keep(first.join(named, "label").select("node", "component_id"), "named")
-    for df in (shared, segments, pairs, links, found, first):
+    for df in (shared, segments, links, found, first, *seen):
         discard(df)
     free_shuffles(spark)
     alone = sets.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -328,15 +328,42 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
     return out
 
 
-def merged(links: DataFrame, found: DataFrame, pairs: DataFrame, segments: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Links and components after the given pairs have been counted as well; ``pairs`` and what is replaced are deleted."""
-    out = links, found
-    if not pairs.isEmpty():
-        more = keep(links.union(linked(pairs, segments, t)), "links")
-        out = more, components(more)
-        discard(links)
-        discard(found)
-    discard(pairs)
+def nearest_first(links: DataFrame | None, found: DataFrame | None, pairs: DataFrame, segments: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the given pairs have been counted as well: each node's likeliest pair first, then each component's, others
+    only if that leaves them in different components. What is replaced is deleted, ``pairs`` stays."""
+    if links is not None and pairs.isEmpty():
+        return links, found
+    rest = pairs.select("a", "b", "na", "nb", "far", F.col("a").alias("label_a"), F.col("b").alias("label_b"))
+    x = F.struct("far", "a", "b", "na", "nb").alias("x")
+    written = []
+    for _ in range(2):
+        ends = rest.select(F.col("label_a").alias("label"), x).union(rest.select("label_b", x))
+        nearest = keep(ends.groupBy("label").agg(F.min("x").alias("x")).select("x.a", "x.b", "x.na", "x.nb").distinct(), "nearest")
+        links, found = merged(links, found, nearest, segments, t)
+        rest = rest.drop("label_a", "label_b").join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+        for end in "ab":
+            rest = rest.join(few(found).select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+        rest = keep(rest.filter("label_a <> label_b"), "apart")
+        written += [nearest, rest]
+        if rest.isEmpty():
+            break
+    out = merged(links, found, rest, segments, t)
+    for df in written:
+        discard(df)
+    return out
+
+
+def merged(links: DataFrame | None, found: DataFrame | None, pairs: DataFrame, segments: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the given pairs have been counted as well; what is replaced is deleted."""
+    if links is None:
+        links = keep(linked(pairs, segments, t), "links")
+        return links, components(links)
+    if pairs.isEmpty():
+        return links, found
+    more = keep(links.union(linked(pairs, segments, t)), "links")
+    out = more, components(more)
+    discard(links)
+    discard(found)
     return out
 
 

@@ -145,6 +145,22 @@ def test_short_unrelated_texts_make_few_pairs(spark):
         assert (shared.groupBy("sig").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) < most
 
 
+def test_signatures_of_near_copies_have_several_pivots(spark):
+    """If one node were the pivot of all signatures of a group and an outlier, all others would be paired with each other."""
+    rng = random.Random(31)
+    base, rows = words(rng, 150), []
+    for i in range(100):
+        w = list(base)
+        w[rng.randrange(150)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    made = frame(spark, rows).select("doc_id", "text").mapInArrow(ngram_join._sets(5, Fraction(4, 5)), "doc_id long, n_shingles long, node long, sigs array<long>, rules array<int>")
+    groups = defaultdict(list)
+    for r in ngram_join.meetings(ngram_join.keep(made.withColumn("row", F.monotonically_increasing_id()), "made")).filter(F.col("m") > ngram_join.SMALL).collect():
+        groups[r.sig, r.pivot, r.m].append(r.node)
+    assert len(groups) > 3 and all(pivot in nodes and m == len(nodes) for (_, pivot, m), nodes in groups.items())
+    assert len({pivot for _, pivot, _ in groups}) > len(groups) / 2
+
+
 @pytest.mark.parametrize("t", [Fraction(17, 20), Fraction(4, 5), Fraction(1, 2)])
 def test_signatures_lose_no_pair(t):
     rng = np.random.default_rng(1)
