@@ -197,10 +197,12 @@ def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
 
 
 def linked(pairs: DataFrame, segments: DataFrame, t: Fraction) -> DataFrame:
-    """Those of the distinct node pairs (a, b, na, nb) whose likeness is ``t`` or more."""
+    """Those of the distinct node pairs (a, b, na, nb), a written table, whose likeness is ``t`` or more. Of few pairs only the segments of their nodes are shuffled."""
     filled = segments.filter("fragment >= 0")
-    left = filled.join(pairs.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b", "na", "nb", "fragment", F.col("grams").alias("ga"))
-    both = left.join(filled.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"])
+    pairs = few(pairs.select("a", "b", "na", "nb"))
+    left = filled.withColumnRenamed("node", "a").join(pairs, "a").select("a", "b", "na", "nb", "fragment", F.col("grams").alias("ga"))
+    right = filled.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb")).join(pairs.select("b"), "b", "left_semi")
+    both = left.join(right, ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("partial"))
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
     # overlap / (na + nb - overlap) >= t
@@ -296,8 +298,8 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
         slice_ = large.filter(F.pmod("sig", F.lit(64)).between(low, high - 1)).drop("m")
         placed = slice_.join(few(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
         placed = keep(placed, "placed")
-        mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-        placed_ = placed.join(mixed, "sig", "left_semi")
+        mixed = keep(placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig"), "sigs")
+        placed_ = placed.join(few(mixed), "sig", "left_semi")
         placed_ = placed_.join(few(found).select(F.col("node").alias("pivot"), F.col("label").alias("major")), "pivot", "left").withColumn("major", F.coalesce("major", "pivot")).drop("pivot")
         placed_ = keep(placed_.join(sketches, "node"), "mixed")
         minor = placed_.filter("label <> major")
@@ -311,8 +313,9 @@ def join_components(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5
         met = met.select(*ends, (differ / (F.col("n") + F.col("n_"))).alias("far")).distinct()
         seen.append(keep(met.join(reduce(DataFrame.union, (x.select("a", "b") for x in seen)), ["a", "b"], "left_anti"), "rest"))
         links, found = nearest_first(links, found, seen[-1], segments, t)
-        discard(placed)
-        discard(placed_)
+        for df in (placed, mixed, placed_):
+            discard(df)
+        free_shuffles(spark)
 
     # names of the components are found per node, so that copies meet theirs in one join with a written table
     first = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -340,7 +343,7 @@ def nearest_first(links: DataFrame | None, found: DataFrame | None, pairs: DataF
         ends = rest.select(F.col("label_a").alias("label"), x).union(rest.select("label_b", x))
         nearest = keep(ends.groupBy("label").agg(F.min("x").alias("x")).select("x.a", "x.b", "x.na", "x.nb").distinct(), "nearest")
         links, found = merged(links, found, nearest, segments, t)
-        rest = rest.drop("label_a", "label_b").join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+        rest = rest.drop("label_a", "label_b").join(few(nearest.select("a", "b")), ["a", "b"], "left_anti")
         for end in "ab":
             rest = rest.join(few(found).select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
         rest = keep(rest.filter("label_a <> label_b"), "apart")
@@ -357,13 +360,21 @@ def merged(links: DataFrame | None, found: DataFrame | None, pairs: DataFrame, s
     """Links and components after the given pairs have been counted as well; what is replaced is deleted."""
     if links is None:
         links = keep(linked(pairs, segments, t), "links")
-        return links, components(links)
+        found = components(links)
+        free_shuffles(segments.sparkSession)
+        return links, found
     if pairs.isEmpty():
         return links, found
-    more = keep(links.union(linked(pairs, segments, t)), "links")
-    out = more, components(more)
-    discard(links)
-    discard(found)
+    new = keep(linked(pairs, segments, t), "new")
+    if new.isEmpty():
+        out = links, found
+    else:
+        more = keep(links.union(new), "links")
+        out = more, components(more)
+        discard(links)
+        discard(found)
+    discard(new)
+    free_shuffles(segments.sparkSession)
     return out
 
 

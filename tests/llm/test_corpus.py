@@ -188,6 +188,20 @@ def test_components_of_chains_and_stars(spark):
     assert {r.node: r.label for r in got} == want and len(got) == len(want)
 
 
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    """Rounds of shuffles over a few thousand links made most of the tasks of the join of near copies."""
+    rng = random.Random(7)
+    links = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(700)] + [(5000, 5000), (-7, 900)]
+    edges, jobs = spark.createDataFrame(links, "a long, b long"), spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    one = sorted(map(tuple, components.components(edges).collect()))
+    assert (made := jobs() - before) < 12, made
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert one == sorted(map(tuple, components.components(edges).collect()))
+    assert dict(one)[40] == 0 and dict(one)[1299] == 1000 and dict(one)[5000] == 5000 and dict(one)[900] == -7
+    assert components.components(edges.limit(0)).count() == 0
+
+
 # mixing
 
 
