@@ -202,6 +202,24 @@ def test_few_links_are_joined_in_one_task(spark, monkeypatch):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_near_copies_go_in_few_jobs(spark):
+    """Each job's shuffle files and log stay on disk for a while: with components in rounds, they outgrew the pipeline's budget."""
+    rng = random.Random(43)
+    base, rows = words(rng, 150), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = {r.doc_id for r in ngram_join.one_of_each(frame(spark, rows).select("doc_id", "text")).collect()}
+    assert (made := jobs() - before) < 260, made
+    sets = {i: ngram_join.shingles(text, 5) for i, text in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    assert got == set(union_find(set(sets), links).values()) and len(got) > 1
+
+
 # mixing
 
 
