@@ -57,7 +57,8 @@ class Lowering:
                 plain.append(t)
             else:
                 paths.append(t)
-        parts = [self.source.bgp(plain, graph)] if plain or not (paths or search) else []
+        # patterns that only a path links stay apart until it comes: joined before it they would be every pair of their rows
+        parts = [self.source.bgp(g, graph) for g in linked(plain)] if plain or not (paths or search) else []
         if search:
             from .fulltext import search_relation
 
@@ -65,16 +66,17 @@ class Lowering:
         unions = [t for t in paths if not isinstance(t, Triple)]
         parts += [self(t, graph) for t in unions]
         repeats = [t for t in paths if isinstance(t, Triple)]
+        everywhere = {graph.variable} if isinstance(graph, EachGraph) else set()  # shared by all, so no link
         out = parts.pop(0) if parts else None
         while parts or repeats:
             known = out.kinds.keys() if out is not None else set()
-            k = next((i for i, p in enumerate(parts) if known & p.kinds.keys()), None)
+            k = next((i for i, p in enumerate(parts) if known & p.kinds.keys() - everywhere), None)
             if k is None and repeats:
                 # a path comes when one of its ends is bound, if one ever is: it then starts from those bindings
                 k = next((i for i, t in enumerate(repeats) if {x.name for x in (t.s, t.o) if isinstance(x, Var)} & known), None if parts else 0)
                 if k is not None:
                     t = repeats.pop(k)
-                    r = self.path(t.s, t.p, t.o, graph, out)
+                    r = self.path(t.s, t.p, t.o, graph, [out, *parts] if out is not None else [])
                     out = r if out is None else self.algebra.join(out, r)
                     continue
             out = self.algebra.join(out, parts.pop(k or 0))
@@ -102,8 +104,8 @@ class Lowering:
                 out.append(t)
         return out
 
-    def path(self, s: Any, p: Path, o: Any, graph: Any, known: Relation | None = None) -> Relation:
-        """``known``: what is bound already by patterns of the same group; a closure needs to start only there."""
+    def path(self, s: Any, p: Path, o: Any, graph: Any, known: list[Relation] | None = None) -> Relation:
+        """``known``: what other patterns of the same group bind; a closure needs to start only there."""
         from .paths import repeat
 
         if p.kind == "negated":
@@ -113,8 +115,9 @@ class Lowering:
                 if names or (not backward and names is forward):
                     v = self.new()
                     hint = []  # the class of what is bound already says which table to look in
-                    if isinstance(a, Var) and known is not None and known.kinds.get(a.name, "").startswith("ref:"):
-                        hint = [Triple(a, IRI(A.RDF + "type"), IRI(self.source.refs[known.kinds[a.name][4:]].rstrip("/")))]
+                    kind = next((r.kinds[a.name] for r in known or [] if a.name in r.sure), "") if isinstance(a, Var) else ""
+                    if kind.startswith("ref:"):
+                        hint = [Triple(a, IRI(A.RDF + "type"), IRI(self.source.refs[kind[4:]].rstrip("/")))]
                     r = self.bgp(BGP([Triple(a, Var(v), b), *hint]), graph)
                     r = Relation(r.df.filter(~q(v).isin(["I" + n for n in names])) if names else r.df, r.kinds, r.sure)
                     parts.append(self.algebra.project(r, [x for x in r.kinds if x != v]))
@@ -351,6 +354,18 @@ class Lowering:
         return Relation(df, kinds, sure)
 
 
+def linked(triples: list[Triple]) -> list[list[Triple]]:
+    """Triple patterns in groups that share no variable and no subject; one empty group if there are none."""
+    groups: list[tuple[set, list[Triple]]] = []
+    for t in triples:
+        names = {t.s, *(x for x in (t.p, t.o) if isinstance(x, Var))}
+        near = [g for g in groups if g[0] & names]
+        at = groups.index(near[0]) if near else len(groups)
+        groups = [g for g in groups if g not in near]
+        groups.insert(at, (names.union(*(n for n, _ in near)), [x for _, members in near for x in members] + [t]))
+    return [members for _, members in groups] or [[]]
+
+
 def spreads(x: Any) -> bool:
     """Whether a pattern means the same in each graph apart and over all with the graph as a shared column."""
     if isinstance(x, BGP):

@@ -16,14 +16,14 @@ from .relation import Relation, build, empty, q
 COMPACT = 8  # rounds after which the pairs found are rewritten as one table
 
 
-def domain(low: Any, known: Relation | None, x: Any) -> Value | None:
-    """The bindings an open end has already."""
-    if known is None or not isinstance(x, Var) or x.name not in known.sure or known.kinds[x.name] == "lang":
+def domain(known: list[Relation] | None, x: Any) -> tuple[DataFrame, Value] | None:
+    """Where an open end is bound already, and its bindings there."""
+    if not isinstance(x, Var):
         return None
-    return known.value(x.name)
+    return next(((r.df, r.value(x.name)) for r in known or [] if x.name in r.sure and r.kinds[x.name] != "lang"), None)
 
 
-def repeat(low: Any, s: Any, p: Path, o: Any, graph: Any, known: Relation | None = None) -> Relation:
+def repeat(low: Any, s: Any, p: Path, o: Any, graph: Any, known: list[Relation] | None = None) -> Relation:
     """``s p{least,most} o``; most is None for closures. Zero steps, ``?``, ``*`` and ``+`` give distinct pairs, other bounds keep duplicates."""
     inner, least, most = p.args
     a, b = low.new(), low.new()
@@ -69,16 +69,17 @@ def bind_ends(low: Any, r: Relation, a: str, b: str, s: Any, o: Any) -> Relation
     return build(df, values, set(values))
 
 
-def identity(low: Any, s: Any, o: Any, a: str, b: str, graph: Any, known: Relation | None = None) -> Relation:
+def identity(low: Any, s: Any, o: Any, a: str, b: str, graph: Any, known: list[Relation] | None = None) -> Relation:
     """Zero steps: a constant end is linked to itself, in the data or not; two open ends range over all nodes, or over what one of them is
     bound to already."""
     fixed = s if not isinstance(s, Var) else o if not isinstance(o, Var) else None
     if fixed is not None:
         return build(low.spark.range(1), {a: constant(fixed), b: constant(fixed)}, {a, b})
     for end in (s, o):
-        v = domain(low, known, end)
-        if v is not None:
-            nodes = known.df.select(v.col.alias("n")).distinct()
+        found = domain(known, end)
+        if found:
+            df, v = found
+            nodes = df.select(v.col.alias("n")).distinct()
             return build(nodes, {a: Value(q("n"), v.kind), b: Value(q("n"), v.kind)}, {a, b})
     t = low.source.triples(graph)
     nodes = t.select(F.col("s").alias("n")).union(t.select("o")).distinct()
@@ -95,7 +96,7 @@ def edges(low: Any, inner: Path, graph: Any) -> tuple[DataFrame, str, str]:
     return r.df.select(u.col.alias("x"), v.col.alias("y")).distinct(), u.kind, x
 
 
-def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any, known: Relation | None = None) -> Relation:
+def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any, known: list[Relation] | None = None) -> Relation:
     """Pairs linked by one or more steps. A constant end, or one that the group has bound to a minor part of the nodes, makes it a search from
     there. Rounds end when nothing is new; every round's pairs are written to the shared folder, so plans stay small and a lost executor
     costs one round."""
@@ -105,21 +106,22 @@ def closure(low: Any, s: Any, inner: Path, o: Any, a: str, b: str, graph: Any, k
     df = materialized(df)
     start, end = "x", "y"
     fixed = s if not isinstance(s, Var) else None
-    v = None
+    bound = None
     if fixed is None and not isinstance(o, Var):
         fixed, start, end = o, "y", "x"
     elif fixed is None:
-        v = domain(low, known, s)
-        if v is None and domain(low, known, o) is not None:
-            v, start, end = domain(low, known, o), "y", "x"
+        bound = domain(known, s)
+        if bound is None and domain(known, o) is not None:
+            bound, start, end = domain(known, o), "y", "x"
     pairs = df.select(F.col(start).alias("x"), F.col(end).alias("y"))
     seen, search = pairs, True
     if fixed is not None:
         c = low.compiler({})
         u, k = Value(F.col("x"), kind), constant(fixed)
         seen = materialized(pairs.filter(c.compare("=", u, k) if kind.startswith("ref:") else low.algebra.same(u, k)))
-    elif v is not None:
-        only = known.df.select(v.col.alias("__from")).distinct()
+    elif bound is not None:
+        at, v = bound
+        only = at.select(v.col.alias("__from")).distinct()
         seen = materialized(pairs.join(only, low.algebra.same(Value(F.col("x"), kind), Value(F.col("__from"), v.kind)), "left_semi"))
         search = 2 * seen.count() < pairs.count()
         if not search:  # most nodes are starts

@@ -184,7 +184,7 @@ class QuadGraph:
             return Relation(self.spark.range(1).select(F.lit(1).alias("__one")), {}, set(), True)
         if isinstance(graph, EachGraph):
             named = self.quads_df.filter("g is not null" if graph.names is None else F.col("g").isin(["I" + g for g in graph.names]))
-            return join_connected(self.algebra, [match(named, t, self.spark, {}, graph.variable) for t in triples])
+            return join_connected(self.algebra, [match(named, t, self.spark, {}, graph.variable) for t in triples], {graph.variable})
         source = self.triples(graph)
         return join_connected(self.algebra, [match(source, t, self.spark, {}) for t in triples])
 
@@ -204,12 +204,12 @@ def match(source: DataFrame, t: Triple, spark: SparkSession, refs: dict[str, str
     return build(source, values, set(values))
 
 
-def join_connected(algebra: Algebra, parts: list[Relation]) -> Relation:
-    """Joins relations so that each next one shares a variable with what is joined already, as long as one does."""
+def join_connected(algebra: Algebra, parts: list[Relation], everywhere: set[str] = frozenset()) -> Relation:
+    """Joins relations so that each next one shares a variable with what is joined already, as long as one does; one that all have is no link."""
     parts = list(parts)
     out = parts.pop(0)
     while parts:
-        k = next((i for i, p in enumerate(parts) if out.kinds.keys() & p.kinds.keys()), 0)
+        k = next((i for i, p in enumerate(parts) if out.kinds.keys() & p.kinds.keys() - everywhere), 0)
         out = algebra.join(out, parts.pop(k))
     return out
 

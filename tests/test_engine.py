@@ -118,6 +118,23 @@ def test_closures_against_brute_force(spark):
     assert sorted(bag(g, "SELECT ?a ?b { ?b :end 1 . ?a :next+ ?b }")) == [x for x in want if x[1] == ":t1"]
 
 
+def test_paths_between_patterns_that_share_nothing_else(spark):
+    """Ends bound by patterns, by one that a union may leave open, by none, and two pairs of ends that nothing links."""
+    g = engine(spark, "@prefix : <http://x/> . " + " ".join(f":n{i} :next :n{i + 1} ." for i in range(6)) + " :n0 :start 1 . :n3 :start 2 . :n3 :end 3 . :n5 :end 4 . :n6 :end 5 . :lone :start 6 , 7 ; :end 8 .")
+    starts, ends = [(0, "1"), (3, "2"), (None, "6"), (None, "7")], [(3, "3"), (5, "4"), (6, "5"), (None, "8")]
+
+    def want(*steps):
+        return sorted((a, b) for i, a in starts for j, b in ends if (j - i in steps if None not in (i, j) else i == j and 0 in steps))
+
+    for path, steps in (("?", (0, 1)), ("+", range(1, 7)), ("*", range(7)), ("{2,3}", (2, 3)), ("{5,}", (5, 6))):
+        assert bag(g, f"SELECT ?a ?b {{ ?x :start ?a . ?x :next{path} ?y . ?y :end ?b }}") == want(*steps), path
+        assert bag(g, f"SELECT ?a ?b {{ ?y :end ?b . ?x :next{path} ?y . ?x :start ?a }}") == want(*steps), path
+        assert bag(g, f"SELECT ?a ?b {{ {{ ?x :start ?a }} UNION {{ ?z :start 7 BIND(0 AS ?a) }} ?x :next{path} ?y . ?y :end ?b FILTER(?a != 0) }}") == want(*steps), path
+    assert len(bag(g, "SELECT * { ?x :start ?a . ?x :next? ?y . ?y :end ?b . ?p :start 2 . ?p :next+ ?q . ?q :end ?c }")) == len(want(0, 1)) * 2
+    assert bag(g, "SELECT ?b { :n0 :start ?a . :n3 :end ?c . ?x :start 2 . ?x !:start ?y . :n0 :next+ ?y . ?x :end ?b }") == [("3",)]
+    assert bag(g, "SELECT ?b { ?x :nothing ?a . ?x :next* ?y . ?y :end ?b }") == []
+
+
 def test_graphs(spark):
     g = engine(spark, TRIG)
     assert bag(g, "SELECT ?s { GRAPH :g1 { ?s :in ?v } }") == [(":a",), (":b",)]
@@ -126,6 +143,8 @@ def test_graphs(spark):
     assert bag(g, "SELECT ?s ?v FROM :g1 FROM :g2 { ?s :in ?v }") == [(":a", "1"), (":b", "2"), (":c", "3")]
     assert bag(g, "SELECT ?s FROM NAMED :g2 { GRAPH ?g { ?s :in ?v } }") == [(":a",), (":c",)]
     assert bag(g, "SELECT ?s FROM :g1 FROM NAMED :g2 { ?s :in ?v GRAPH ?g { ?s :in ?v } }") == [(":a",)]
+    assert bag(g, "SELECT ?g ?s ?t { GRAPH ?g { ?s :in ?v . ?t :in ?w FILTER(?v < ?w) } }") == [(":g1", ":a", ":b"), (":g2", ":a", ":c")]
+    assert bag(g, "SELECT ?g ?s ?v { GRAPH ?g { ?s :in ?v . ?t :in ?w . { ?s :in ?w } UNION { ?t :in ?v } FILTER(?s != ?t) } }") == []
 
 
 def test_strings_keep_languages(e):
